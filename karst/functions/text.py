@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.isspace has it, for Java's and RE2's syntax alike.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: A word character as Python's \w has it.
 WORD = r"[\p{L}\p{N}_]"
 #: Dashes and the no-break space, and what stands for them in normalized text; fixed values.
@@ -39,7 +40,7 @@ def nfkc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def is_blank(text: Column) -> Column:

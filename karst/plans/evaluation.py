@@ -113,9 +113,9 @@ _GROUP = _norm("split_part(topic, chr(124), 1)")
 @query("contamination_overlap", f"""
 WITH s AS (SELECT id, split, {_QKEY} AS q, {_GROUP} AS g FROM split_examples),
 a AS (SELECT * FROM s WHERE split = 'train'), b AS (SELECT * FROM s WHERE split = 'test')
-SELECT 'id' AS kind, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ';') AS first_three FROM (SELECT id FROM a INTERSECT SELECT id FROM b)
+SELECT 'id' AS kind, count(*) AS n, coalesce(array_to_string(list_sort(list(id))[1:3], ';'), '') AS first_three FROM (SELECT id FROM a INTERSECT SELECT id FROM b)
 UNION ALL SELECT 'text', count(*), NULL FROM (SELECT q FROM a INTERSECT SELECT q FROM b)
-UNION ALL SELECT 'group', count(*), array_to_string(list_sort(list(g) FILTER (WHERE g IS NOT NULL))[1:3], ';') FROM (SELECT g FROM a INTERSECT SELECT g FROM b)""")
+UNION ALL SELECT 'group', count(*), coalesce(array_to_string(list_sort(list(g) FILTER (WHERE g IS NOT NULL))[1:3], ';'), '') FROM (SELECT g FROM a INTERSECT SELECT g FROM b)""")
 def _(t: Tables) -> DataFrame:
     s = t.split_examples.select("id", "split", text.question_key(user(), False).alias("q"), text.normalize_group(F.col("topic"), False).alias("g"))
     a, b = s.where("split = 'train'"), s.where("split = 'test'")

@@ -59,21 +59,21 @@ def alerts(stream: DataFrame, name: str, time: str, condition: str, hold: float)
 
 
 def fragments(stream: DataFrame) -> DataFrame:
-    """(request_id, seq, fault) of fragments out of order, and of what comes behind the last one. stream: request_id, seq, last.
+    """(request_id, seq, fault) of fragments out of order, and of what comes behind the last one. stream: request_id, seq, last, at.
 
-    seq counts from 0 within a request; rows of a batch are taken as they came.
+    seq counts from 0 within a request; rows of a batch are taken in order of at, their arrival.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected, closed = state.get if state.exists else (0, False)
         out = []
-        for rows in frames:
-            for seq, last in zip(rows["seq"], rows["last"]):
-                if closed:
-                    out.append((key[0], int(seq), "after_last"))
-                elif int(seq) != expected:
-                    out.append((key[0], int(seq), "order"))
-                expected, closed = int(seq) + 1, closed or bool(last)
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        for seq, last in zip(rows["seq"], rows["last"]):
+            if closed:
+                out.append((key[0], int(seq), "after_last"))
+            elif int(seq) != expected:
+                out.append((key[0], int(seq), "order"))
+            expected, closed = int(seq) + 1, closed or bool(last)
         state.update((expected, closed))
         yield pd.DataFrame(out, columns=["request_id", "seq", "fault"])
 
