@@ -34,10 +34,10 @@ def _aliases(topics: pd.Series) -> pd.Series:
 
 
 def entity_links(examples: DataFrame) -> DataFrame:
-    """(line_no, entity), the entities being ids and aliases; null and blank ids relate nothing."""
+    """(line_no, entity), the entities being ids and aliases; null ids and empty aliases relate nothing, blank ids are equal."""
     base = examples.where("line_no is not null").select("line_no", F.lower(F.regexp_replace("id", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).alias("name"), "topic")
     aliases = F.transform(F.pandas_udf(_aliases, "array<string>")("topic"), lambda a: F.concat(F.lit("t:"), a))
-    name = F.when(F.col("name") != "", F.array(F.concat(F.lit("i:"), "name"))).otherwise(F.array().cast("array<string>"))
+    name = F.when(F.col("name").isNotNull(), F.array(F.concat(F.lit("i:"), "name"))).otherwise(F.array().cast("array<string>"))
     return base.select("line_no", F.explode(F.concat(aliases, name)).alias("entity"))
 
 
