@@ -86,3 +86,32 @@ def pii_counts(text: Column) -> tuple[Column, dict[str, Column]]:
         hits[kind] = F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
         text = F.regexp_replace(text, pattern, placeholder.replace("[", "\\["))
     return text, hits
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path that never climbs: not blank, not absolute, without '..' parts, back slashes or NUL."""
+    return ~is_blank(path) & ~path.rlike(r"^/|^[A-Za-z]:|\\|\x00|(^|/)\.\.(/|$)")
+
+
+def replace_once(source: Column, pattern: str, new: str) -> Column:
+    """source with the pattern's only match replaced; null if it matches never or more than once."""
+    return F.when(F.regexp_count(source, F.lit(pattern)) == 1, F.regexp_replace(source, pattern, new))
+
+
+def without_prefix(source: Column, prefix: str) -> Column:
+    return F.when(F.startswith(source, F.lit(prefix)), F.substr(source, F.lit(len(prefix) + 1))).otherwise(source)
+
+
+def between_marks(source: Column, start: str, end: str) -> Column:
+    """Stripped text between the first start mark and the next end mark; null without them."""
+    tail = F.when(F.contains(source, F.lit(start)), F.substr(source, F.locate(start, source) + len(start)))
+    return strip(F.when(F.contains(tail, F.lit(end)), F.substring_index(tail, end, 1)))
+
+
+def number(value: Column, digits: int) -> Column:
+    """1234567.891 as '1 234 567,89'."""
+    return F.translate(F.format_number(value, digits), ",.", " ,")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    return F.concat(number(share * 100, digits), F.lit(" %"))

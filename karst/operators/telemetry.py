@@ -135,3 +135,22 @@ def schedule(runs: DataFrame) -> DataFrame:
     turn = F.col("seq") % 15
     owner = F.when(F.col("traffic") == "solo", 0).when(F.col("traffic") == "skew", F.when(turn < 12, 0).otherwise(turn - 11)).otherwise(F.col("seq") % 4)
     return rows.select("run", "seq", (F.col("start_epoch") + F.col("seq") / F.col("rate")).alias("planned"), owner.cast("int").alias("owner"))
+
+
+def ready_pods(snapshots: DataFrame, version: str | None = None) -> DataFrame:
+    """Snapshots with ready: pods (map of name to struct of ready, deletion, version) that serve and aren't being deleted."""
+    serving = F.filter(F.map_values("pods"), lambda p: F.coalesce(p["ready"], F.lit(False)) & p["deletion"].isNull() & (F.lit(True) if version is None else F.coalesce(p["version"] == version, F.lit(False))))
+    return snapshots.withColumn("ready", F.when(F.col("pods").isNotNull(), F.size(serving)).otherwise(0))
+
+
+def endpoint_pods(snapshots: DataFrame, service: str) -> DataFrame:
+    """(epoch, target, pod): targets of a service's slices with the pod of that name, null for one that is gone."""
+    targets = F.flatten(F.transform(F.coalesce(F.try_element_at("slices", F.lit(service)), F.array()), lambda s: s["targets"]))
+    return snapshots.select("epoch", "pods", F.explode(targets).alias("target")).select("epoch", "target", F.try_element_at("pods", F.col("target")).alias("pod"))
+
+
+def alert_marks(states: DataFrame, by: list[str], time: str) -> DataFrame:
+    """First pending, first firing and first inactive behind the last firing time of each alert."""
+    at = lambda s: F.min(F.when(F.col("state") == s, F.col(time)))
+    last = F.max(F.when(F.col("state") == "firing", F.col(time))).over(Window.partitionBy(*by))
+    return states.withColumn("_last", last).groupBy(*by).agg(at("pending").alias("pending"), at("firing").alias("firing"), F.min(F.when((F.col("state") == "inactive") & (F.col(time) > F.col("_last")), F.col(time))).alias("inactive"))

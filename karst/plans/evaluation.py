@@ -357,3 +357,12 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     a, b = t.runs.select("run").distinct(), t.warmup_fixed.select("run").distinct()
     return evaluate.different(a, b).agg((F.count("*") == 0).alias("same"))
+
+
+@query("encode_chat", """
+WITH e AS (SELECT line_no, list_sum([length(m.role) + length(m.content) + 13 for m in messages])::INT AS full_len, (list_sum([length(m.role) + length(m.content) + 13 for m in messages[1:len(messages) - 1]]) + 14)::INT AS prompt_len FROM split_examples)
+SELECT line_no, full_len, prompt_len, full_len - prompt_len AS answer_len, full_len > 384 AS truncated, greatest(0, least(full_len, 384) - prompt_len) AS supervised FROM e""")
+def _(t: Tables) -> DataFrame:
+    from karst.operators.encoding import encode_chats
+
+    return encode_chats(t.split_examples, "line_no").select("line_no", "full_len", "prompt_len", "answer_len", "truncated", "supervised")

@@ -80,3 +80,16 @@ def text_facts(spark: SparkSession, path: str, patterns: dict[str, str]) -> Data
 def choices(spark: SparkSession, rows: list[tuple[str, str, list[str]]]) -> DataFrame:
     """(key, question, options) from a literal table."""
     return spark.createDataFrame(rows, "key string, question string, options array<string>")
+
+
+def config(path: str) -> dict:
+    """Nested settings from a YAML file, or from JSON where no YAML reader is installed."""
+    with open(path, encoding="utf-8") as lines:
+        body = lines.read()
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        return json.loads(body)
+    return yaml.safe_load(body) or {}

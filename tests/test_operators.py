@@ -235,3 +235,48 @@ def test_ledger(spark, rows):
     assert ledger.recover(held, pending, "d", "release_id").count() == 2 and ledger.recover(held, pending, "e", "release_id").count() == 1
     ok = spark.createDataFrame([(0.5,), (float("nan"),), (float("inf"),), (-0.1,), (None,), (1.0,)], "x double")
     assert [r[0] for r in ok.select(ledger.is_share(F.col("x"))).collect()] == [True, False, False, False, False, True]
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("a/b.txt", "x=1; x=2"), ("../a", "x=1"), ("/a", ""), ("", None), (None, "y")], "p string, t string")
+    got = [tuple(r) for r in df.select(text.safe_path(F.col("p")), text.replace_once(F.col("t"), "x=\\d", "x=9"), text.without_prefix(F.col("p"), "a/")).collect()]
+    assert got == [(True, None, "b.txt"), (False, "x=9", "../a"), (False, None, "/a"), (False, None, ""), (False, None, None)]
+    df = spark.createDataFrame([("<u> hi <e>x", 1234567.891), ("none", None)], "t string, v double")
+    got = [tuple(r) for r in df.select(text.between_marks(F.col("t"), "<u>", "<e>"), text.number(F.col("v"), 2), text.percent(F.col("v") / F.col("v"))).collect()]
+    assert got == [("hi", "1 234 567,89", "100,0 %"), (None, None, None)]
+
+
+def test_chat_encoding_masks_the_prompt(spark):
+    from karst.operators import encoding
+
+    answer = encoding.encode_record(encoding.chars(), [{"role": "user", "content": "q"}, {"role": "assistant", "content": "Да"}], 999)
+    kept = "".join(map(chr, (x for x in answer["labels"] if x != -100)))
+    assert kept == "Да<|end|>\n" and answer["full_len"] == answer["prompt_len"] + answer["answer_len"] and not answer["truncated"]
+    cut = encoding.encode_record(encoding.chars(), [{"role": "user", "content": "q"}, {"role": "assistant", "content": "Да"}], 2)
+    assert cut["truncated"] and cut["supervised"] == 0 and len(cut["input_ids"]) == 2
+
+    def pairs():  # tokens of two characters: one goes over the end of the prompt
+        return lambda t: ([hash(t[i : i + 2]) % 1000 for i in range(0, len(t), 2)], [(i, min(i + 2, len(t))) for i in range(0, len(t), 2)])
+
+    odd = encoding.encode_record(pairs(), [{"role": "user", "content": "qq" if len(encoding.template([{"role": "user", "content": "q"}])) % 2 else "q"}, {"role": "assistant", "content": "answer"}], 999)
+    assert odd["fault"] is None and odd["prompt_len"] > 0
+    rows = [chat(1), (2, "x", "t", None), (3, "x", "t", []), (4, "x", "t", [("user", "u")]), (5, "x", "t", [("assistant", None)])]
+    got = {r["line_no"]: r["fault"] for r in encoding.encode_chats(spark.createDataFrame(rows, CHAT), "line_no").collect()}
+    assert got == {1: None, 2: "content", 3: "content", 4: "no_answer", 5: "content"}
+
+
+def test_balanced_sample_reaches_its_ratio(spark):
+    df = spark.createDataFrame([(n, f"g{n % 50}", 10 + n % 90, f"{n * 7919 % 1000:04}") for n in range(1000)], "id int, grp string, l int, p string")
+    sample, fraction = sampling.balanced(df, "l", "grp", ["p", "id"], 9, 100, 2.0)
+    assert sample.count() == 100 and 0 < fraction <= 0.1
+    with pytest.raises(ValueError):
+        sampling.balanced(df, "l", "grp", ["p", "id"], 9, 100, 99.0)
+
+
+def test_snapshots_and_alert_marks(spark):
+    pods = "pods map<string, struct<ready: boolean, deletion: string, version: string>>, slices map<string, array<struct<targets: array<string>>>>"
+    df = spark.createDataFrame([(1.0, {"a": (True, None, "A"), "b": (True, "x", "A"), "c": (None, None, "B")}, {"api": [(["a", "z"],)]}), (2.0, None, None)], f"epoch double, {pods}")
+    assert [r["ready"] for r in telemetry.ready_pods(df).orderBy("epoch").collect()] == [1, 0]
+    assert {(r["target"], r["pod"] is None) for r in telemetry.endpoint_pods(df, "api").collect()} == {("a", False), ("z", True)}
+    states = spark.createDataFrame([("x", 1, "inactive"), ("x", 2, "pending"), ("x", 3, "firing"), ("x", 4, "firing"), ("x", 5, "inactive"), ("y", 1, "inactive")], "k string, t int, state string")
+    assert {tuple(r) for r in telemetry.alert_marks(states, ["k"], "t").collect()} == {("x", 2, 3, 5), ("y", None, None, None)}
