@@ -109,13 +109,19 @@ def similar(texts: DataFrame, num: int, den: int, sides: bool = False) -> tuple[
     classes = feats.groupBy("k").agg(F.min("id").alias("id"), F.bit_or("flags").alias("flags"))
     reps = stage(feats.drop("flags").join(classes, ["k", "id"]).drop("id"), "classes")
 
-    each = reps.select("k", *(["flags"] if sides else []), F.explode("grams").alias("gram"))
+    each = reps.select("k", "flags", F.explode("grams").alias("gram"))
+    least = F.expr(f"int((n * {num} + {den - 1}) div {den})")
     if sides:
-        counts = each.groupBy("gram").agg(F.count("*").alias("c"), F.bit_or("flags").alias("f")).where("c > 1 and f = 3").drop("f")
+        # only what stands on both sides can link; the larger side is shuffled once
+        held = each.where("flags & 2 > 0").select("gram").distinct()
+        one = stage(each.where("flags & 1 > 0").select("k", "gram").join(held, "gram", "left_semi"), "one")
+        two = each.where("flags = 2").select("k", "gram").join(one.select("gram").distinct(), "gram", "left_semi")
+        live = stage(one.unionByName(two), "live")
     else:
-        counts = each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    least = F.expr(f"int((n * {num} + {den - 1}) div {den})")
-    shared = each.select("k", "gram").join(counts, "gram").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+        live = each.select("k", "gram")
+    counts = live.groupBy("gram").agg(F.count("*").alias("c"))
+    counts = counts if sides else counts.where("c > 1")
+    shared = live.join(counts, "gram").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
     # grams that nobody else holds come first in the common order, so the prefix needs that many fewer of the others
     prefix = (
         shared.join(reps.drop("grams"), "k")
@@ -135,11 +141,9 @@ def similar(texts: DataFrame, num: int, den: int, sides: bool = False) -> tuple[
         .sortWithinPartitions("gram", "cell")
     )
     found = blocks.mapInArrow(_candidates(num, den, sides), "a bigint, b bigint").distinct()
-    one = reps.select(F.col("k").alias("a"), F.col("grams").alias("ga"))
-    two = reps.select(F.col("k").alias("b"), F.col("grams").alias("gb"))
     links = (
-        found.join(one, "a")
-        .join(two, "b")
+        found.join(reps.select(F.col("k").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(reps.select(F.col("k").alias("b"), F.col("grams").alias("gb")), "b")
         .withColumn("both", F.size(F.array_intersect("ga", "gb")))
         .where(F.expr(f"both * {den} >= {num} * (size(ga) + size(gb) - both)"))
         .select("a", "b")
