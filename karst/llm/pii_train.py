@@ -170,6 +170,9 @@ def _piece(r: random.Random) -> list[tuple[str, int]]:
         a, b = frame.split("{}")
         return [(a + before, 0), (date, KINDS.index(kind) + 1), (after + b, 0)]
     item = {"email": _email, "phone": _phone, "id_number": _id_number, "address": _address, "name": _name}[kind](r)
+    if kind == "name":
+        draw = r.random()
+        item = item.lower() if draw < 0.16 else item.upper() if draw < 0.24 else item
     a, b = r.choice(_FRAMES["any"] if kind == "id_number" else _FRAMES[kind]).split("{}")
     return [(a, 0), (item, KINDS.index(kind) + 1), (b, 0)]
 
@@ -185,13 +188,13 @@ def _example(r: random.Random, background: list[str]) -> tuple[str, list[int]]:
     for value, kind in parts:
         if style < 0.08:
             value = value.lower()
-        elif style < 0.11:
+        elif style < 0.14:
             value = value.upper()
-        elif style < 0.17:
+        elif style < 0.20:
             value = value.replace(" ", " ")
-        elif style < 0.22:
+        elif style < 0.25:
             value = value.replace(" ", "  ")
-        elif style < 0.26 and not kind:
+        elif style < 0.29 and not kind:
             value = re.sub(r"[.,:;]", "", value)
         text += value
         marks += [2 * kind - 1] * (1 if kind and value else 0) + [2 * kind] * (len(value) - 1 if kind else 0) if kind else [0] * len(value)
@@ -212,12 +215,12 @@ def batches(background: list[str], steps: int, size: int = 64, seed: int = 11):
         yield codes, mask, tags
 
 
-def main(path: str, steps: int = 2200) -> None:
+def main(path: str, steps: int = 3600) -> None:
     import pyarrow.parquet as pq
 
     texts = [m["content"] for row in pq.read_table(path, columns=["messages"]).slice(0, BACKGROUND_ROWS).to_pylist() for m in row["messages"] or [] if m and m["content"]]
     background = sorted({s.strip()[:160] for t in texts for s in re.split(r"(?<=[.?!])\s+|\n+", t) if len(s.strip()) > 3})
-    tagger = Tagger()
+    tagger = Tagger(hidden=40)
     fit(tagger, batches(background, steps))
     tagger.save(MODEL)
 
