@@ -21,36 +21,37 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def shingled(df: DataFrame, ident: str, source: Column, size: int) -> DataFrame:
-    """(ident, n, shingle): distinct word n-grams of each row and their number, hashed to 64 bits.
+    """(ident, n, shingles): the set of word n-grams of each row, hashed to 64 bits; null text gives no row.
 
     Tokens are materialized first, so that the regular expression runs once per text.
     """
-    tokens = stage(df.select(ident, text.words(source).alias("_w")), "words")
-    sets = tokens.select(ident, F.array_distinct(F.transform(text.ngrams(F.col("_w"), size), lambda s: F.xxhash64(s))).alias("_s"))
-    return sets.select(ident, F.size("_s").alias("n"), F.explode("_s").alias("shingle"))
+    tokens = stage(df.select(ident, text.words(source).alias("_w")).where("_w is not null"), "words")
+    sets = tokens.select(ident, F.array_distinct(F.transform(text.ngrams(F.col("_w"), size), lambda s: F.xxhash64(s))).alias("shingles"))
+    return stage(sets.select(ident, F.size("shingles").alias("n"), "shingles"), "shingles")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float, ordered: bool) -> DataFrame:
     """(a, b, similarity) of rows whose shingle sets have a Jaccard index of ``least`` at least.
 
-    left and right: (id, n, shingle). Only the rarest shingles of each row are joined: two
-    sets of that similarity share one of them. Candidates are then counted exactly.
+    left and right: (id, n, shingles); with ``ordered`` they are the same and a < b. Two sets of
+    that similarity share one of the rarest shingles of each; those that only one row holds come
+    first in that order and need not be joined. Candidates are then compared whole. Empty
+    sets make no pairs.
     """
-    both = left.select("id", "n", "shingle").unionAll(right.select("id", "n", "shingle")) if not ordered else left
-    counts = both.groupBy("shingle").agg(F.count("*").alias("c"))
+    both = left if ordered else left.unionByName(right)
+    counts = both.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    take = F.size("_x") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy("id").orderBy("c", "shingle")
-        ranked = df.join(counts, "shingle").withColumn("r", F.row_number().over(order))
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), "shingle")
+        shared = df.select("id", "n", F.explode("shingles").alias("s")).join(counts, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("_x"))
+        return shared.where(take > 0).select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.explode(F.slice("_x", F.lit(1), take)["s"]).alias("s"))
 
-    a, b = prefix(left, "a"), prefix(right, "b")
-    candidates = a.join(b, "shingle").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    candidates = candidates.where("a < b") if ordered else candidates
-    candidates = candidates.select("a", "na", "b", "nb").distinct()
-    shared = candidates.join(left.select(F.col("id").alias("a"), "shingle"), "a").join(right.select(F.col("id").alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return shared.withColumn("similarity", score).where(F.col("similarity") >= least - 1e-12).select("a", "b", "similarity")
+    candidates = prefix(left, "a").join(prefix(right, "b"), "s").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    candidates = (candidates.where("a < b") if ordered else candidates).select("a", "b").distinct()
+    whole = candidates.join(left.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a").join(right.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    scored = whole.select("a", "b", (shared / (F.size("_a") + F.size("_b") - shared)).alias("similarity"))
+    return scored.where(F.col("similarity") >= least - 1e-12)
 
 
 def greedy_drops(pairs: DataFrame) -> DataFrame:
@@ -74,6 +75,7 @@ def greedy_drops(pairs: DataFrame) -> DataFrame:
 
 
 def minhash(shingles: DataFrame, ident: str, seeds: int) -> DataFrame:
-    """(ident, seed, value): smallest hash of the shingles for each seed."""
-    each = shingles.select(ident, F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.xxhash64(F.col("shingle"), F.lit(s)).alias("h")) for s in range(seeds)))).alias("x"))
-    return each.groupBy(ident, "x.seed").agg(F.min("x.h").alias("value"))
+    """(ident, seed, value): smallest hash of the shingles for each seed; rows without shingles are left out."""
+    least = lambda s: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(s))))
+    each = F.array(*(F.struct(F.lit(s).alias("seed"), least(s).alias("value")) for s in range(seeds)))
+    return shingles.where("n > 0").select(ident, F.explode(each).alias("x")).select(ident, "x.*")

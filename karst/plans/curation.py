@@ -328,7 +328,7 @@ w AS (SELECT item_no AS id, regexp_extract_all({_norm('item_input')}, '{_W}') AS
 s AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i + 3], ' ') for i in range(1, greatest(len(w) - 2, 2))]) AS s FROM w WHERE len(w) > 0),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 pairs AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(na.n) + any_value(nb.n) - count(*)) AS similarity FROM s a JOIN s b ON a.s = b.s AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
-  GROUP BY a.id, b.id HAVING count(*) / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.2)"""
+  GROUP BY a.id, b.id HAVING count(*) / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.03)"""
 
 
 def _benchmark_shingles(t: Tables) -> DataFrame:
@@ -338,7 +338,7 @@ def _benchmark_shingles(t: Tables) -> DataFrame:
 @query("jaccard_pairs", f"WITH {_SHINGLED} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
 def _(t: Tables) -> DataFrame:
     s = _benchmark_shingles(t)
-    return dedup.overlap_pairs(s, s, 0.2, True).withColumn("similarity", F.round("similarity", 9))
+    return dedup.overlap_pairs(s, s, 0.03, True).withColumn("similarity", F.round("similarity", 9))
 
 
 def _question_shingles(t: Tables) -> DataFrame:
