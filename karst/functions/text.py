@@ -17,12 +17,12 @@ WORD = r"[\p{L}\p{N}_]"
 DASHES, PLAIN = "—–‑ ", "--- "
 QUESTION_MARK = "Вопрос:\n"
 
-#: Patterns of private data and their placeholders; fixed values.
+#: Patterns of private data and their placeholders; fixed values. Digits and white space are those of Unicode.
 PII = {
-    "phone": (r"(?:\+7|(?<![\p{L}\p{N}_])8)[\s\-(]{0,3}\d{3}[\s\-)]{0,3}\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?![\p{L}\p{N}_])", "[PHONE]"),
-    "email": (r"(?<![\p{L}\p{N}_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\p{L}\p{N}_])", "[EMAIL]"),
+    "phone": (r"(?U)(?:\+7|(?<![\p{L}\p{N}_])8)[\s\-(]{0,3}\d{3}[\s\-)]{0,3}\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?![\p{L}\p{N}_])", "[PHONE]"),
+    "email": (r"(?U)(?<![\p{L}\p{N}_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\p{L}\p{N}_])", "[EMAIL]"),
     "birth_date": (
-        r"(?iu)((?:дат[аеы]\s+рождения|год\s+рождения|родил(?:ся|ась)|(?<![\p{L}\p{N}_])г\.\s?р\.|(?<![\p{L}\p{N}_])д\.\s?р\.)\s*[:\-—]?\s*)"
+        r"(?iuU)((?:дат[аеы]\s+рождения|год\s+рождения|родил(?:ся|ась)|(?<![\p{L}\p{N}_])г\.\s?р\.|(?<![\p{L}\p{N}_])д\.\s?р\.)\s*[:\-—]?\s*)"
         r"(?:0?[1-9]|[12]\d|3[01])[.\-/](?:0?[1-9]|1[0-2])[.\-/](?:19|20)\d{2}(?![\p{L}\p{N}_])",
         "$1[DATE]",
     ),

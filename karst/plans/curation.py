@@ -244,22 +244,33 @@ def _(t: Tables) -> DataFrame:
     return quality.violations(_measured(t), _TIGHT)
 
 
-@query("pii_hit_totals")
+# The same patterns for an engine without look-around: the neighbours of a hit are read with it.
+_I = text.SPACE[1:-1]
+_NOT, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+_PHONE = rf"(?:\+7|{_NOT}8)[{_I}\-(]{{0,3}}\p{{Nd}}{{3}}[{_I}\-)]{{0,3}}\p{{Nd}}{{3}}[{_I}\-]?\p{{Nd}}{{2}}[{_I}\-]?\p{{Nd}}{{2}}{_END}"
+_EMAIL = rf"{_NOT}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_END}"
+_BIRTH = rf"(?i)(?:дат[аеы][{_I}]+рождения|год[{_I}]+рождения|родил(?:ся|ась)|{_NOT}г\.[{_I}]?р\.|{_NOT}д\.[{_I}]?р\.)[{_I}]*[:\-—]?[{_I}]*(?:0?[1-9]|[12]\p{{Nd}}|3[01])[.\-/](?:0?[1-9]|1[0-2])[.\-/](?:19|20)\p{{Nd}}{{2}}{_END}"
+_HITS = ", ".join(f"coalesce(len(regexp_extract_all(m.content, '{p}')), 0) AS n_{k}" for k, p in (("phone", _PHONE), ("email", _EMAIL), ("birth_date", _BIRTH)))
+
+
+@query("pii_hit_totals", f"SELECT sum(n_phone)::BIGINT AS n_phone, sum(n_email)::BIGINT AS n_email, sum(n_birth_date)::BIGINT AS n_birth_date, count(*) FILTER (WHERE n_phone + n_email + n_birth_date > 0) AS touched FROM (SELECT {_HITS} FROM (SELECT unnest(messages) AS m FROM examples))")
 def _(t: Tables) -> DataFrame:
     each = t.examples.select(F.explode("messages").alias("m")).select(F.col("m.content").alias("content"))
     hits = quality.scrub(each, "content")
     return hits.agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in text.PII), F.count_if((F.col("n_phone") + F.col("n_email") + F.col("n_birth_date")) > 0).alias("touched"))
 
 
-@query("pii_scrub")
+@query("pii_hits_by_message", f"SELECT line_no, pos, n_phone, n_email, n_birth_date FROM (SELECT line_no, pos, {_HITS} FROM (SELECT line_no, unnest(range(0, len(messages)))::INT AS pos, unnest(messages) AS m FROM examples)) WHERE n_phone + n_email + n_birth_date > 0")
 def _(t: Tables) -> DataFrame:
     each = t.examples.select("line_no", F.posexplode("messages").alias("pos", "m")).select("line_no", "pos", F.col("m.content").alias("content"))
-    return quality.scrub(each, "content")
+    hits = quality.scrub(each, "content").drop("content")
+    return hits.where("n_phone + n_email + n_birth_date > 0")
 
 
-@query("pii_email_count", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_email FROM documents WHERE contains(text, '@')")
+@query("pii_scrub")
 def _(t: Tables) -> DataFrame:
-    return t.documents.where(F.contains("text", F.lit("@"))).select("doc_id", F.regexp_count("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).cast("bigint").alias("n_email"))
+    each = t.examples.select("line_no", F.posexplode("messages").alias("pos", "m")).select("line_no", "pos", F.col("m.content").alias("content"))
+    return quality.scrub(each, "content")
 
 
 _PRI = "sha256('42:' || doc_id::VARCHAR)"
