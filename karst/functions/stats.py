@@ -1,7 +1,8 @@
 """Aggregates: three kinds of percentiles, spread, weighted mean.
 
-The exact forms keep a map of distinct values per group; for huge groups of distinct
-values use percentile_approx or a selection by rank instead.
+percentile_ceil and percentile_linear are Spark's own aggregates, which keep the distinct
+values of a group in memory: for lengths, codes and small groups. percentiles() is exact
+for groups of any size: values are counted, sorted over range partitions and picked by rank.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.sources.staging import stage
+
 
 def percentile_ceil(value: str, p: float) -> Column:
     """sorted[ceil(n p) - 1]; null for no values."""
@@ -53,3 +56,51 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
+
+
+def _ranks(kind: str, p: float, n: Column) -> tuple[Column, Column]:
+    """First and last rank (from 1) that a percentile needs."""
+    if kind == "ceil":
+        one = F.greatest(F.lit(1), F.ceil(n * F.lit(p)))
+        return one, one
+    if kind == "floor":
+        one = F.least(n, F.floor(n * F.lit(p)) + 1)
+        return one, one
+    if kind == "linear":
+        return F.floor((n - 1) * F.lit(p)) + 1, F.ceil((n - 1) * F.lit(p)) + 1
+    raise ValueError(f"no such kind of percentile: {kind}")
+
+
+def percentiles(df: DataFrame, by: list[str], values: dict[str, Column], wanted: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """(by.., wanted..): exact percentiles of any number of values; wanted: name to (value, kind, p).
+
+    Kinds are ceil, floor and linear. Null values don't count; a group without values has
+    nulls. Null groups are groups. A hot group is spread over range partitions like the rest.
+    """
+    keys = [*by, "_v"]
+    entries = F.array(*(F.struct(F.lit(k).alias("_v"), c.cast("double").alias("_x")) for k, c in values.items()))
+    counted = df.select(*by, F.explode(entries).alias("_e")).select(*by, "_e.*").where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    parts = stage(counted.repartitionByRange(*keys, "_x").withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy(*keys)  # a row per partition that holds the group
+    offsets = sums.select(*(F.col(k).alias(f"o{k}") for k in keys), F.col("_p").alias("o_p"), (F.sum("_s").over(whole.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(whole).alias("_n"))
+    local = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parts.withColumn("_local", local).join(offsets, [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in keys] + [F.col("_p") == F.col("o_p")]).withColumn("_upto", F.col("_local") + F.col("_before"))
+    picks = {}
+    for name, (value, kind, p) in wanted.items():
+        for end, rank in zip("ab", _ranks(kind, p, F.col("_n"))):
+            picks[f"{name}_{end}"] = F.min(F.when((F.col("_v") == value) & (F.col("_upto") >= rank), F.col("_x")))
+        picks[f"{name}_n"] = F.max(F.when(F.col("_v") == value, F.col("_n")))
+    found = ranked.groupBy(*by).agg(*(c.alias(k) for k, c in picks.items()))
+
+    def value_of(name: str) -> Column:
+        kind, p = wanted[name][1:]
+        a, b, n = (F.col(f"{name}_{x}") for x in "abn")
+        place = (n - 1) * F.lit(p)
+        return (a + (b - a) * (place - F.floor(place)) if kind == "linear" else a).alias(name)
+
+    out = found.select(*by, *map(value_of, wanted))
+    if not by:
+        return out
+    groups = df.select(*(F.col(c).alias(f"g_{c}") for c in by)).distinct()
+    return groups.join(out, [F.col(f"g_{c}").eqNullSafe(F.col(c)) for c in by], "left").select(*(F.col(f"g_{c}").alias(c) for c in by), *wanted)

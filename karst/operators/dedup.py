@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import text
 from karst.sources.staging import stage
 
 
-def marked(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """df with seen: how many rows of the same key stand before. Rows of null key count as one key."""
-    return df.withColumn("_key", F.sha2(key, 256)).withColumn("seen", F.row_number().over(Window.partitionBy("_key").orderBy(*order)) - 1).drop("_key")
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    """Null keys are one key."""
+    return df.withColumn("_key", F.coalesce(F.sha2(key, 256), F.lit("")))
+
+
+def later_copies(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """Rows whose key an earlier row has, with first: that row's order value (unique). A hot key is no task of its own."""
+    keyed = _keyed(df, key)
+    firsts = keyed.groupBy("_key").agg(F.min(order).alias("first"))
+    return keyed.join(firsts, "_key").where(F.col(order) > F.col("first")).drop("_key")
 
 
 def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row of the smallest (unique) order value of each key, by partial aggregation; a hot key is no task of its own."""
-    firsts = df.groupBy(F.sha2(key, 256).alias("_k")).agg(F.min(order).alias(order)).drop("_k")
-    return df.join(firsts, order, "left_semi")
+    """The row of the smallest (unique) order value of each key."""
+    return df.join(_keyed(df, key).groupBy("_key").agg(F.min(order).alias(order)).drop("_key"), order, "left_semi")
 
 
 def shingled(df: DataFrame, ident: str, source: Column, size: int) -> DataFrame:

@@ -23,13 +23,18 @@ def outcomes(traces: DataFrame, by: list[str]) -> DataFrame:
     """Counts by outcome and waits of each group; an interrupted answer of status 200 counts as aborted, other aborts as transport errors."""
     done, cut = F.col("outcome") == "completed", F.col("outcome") == "aborted"
     half = F.coalesce(cut & (F.col("status") == 200), F.lit(False))
-    p = stats.percentile_ceil
-    return with_waits(traces).groupBy(*by).agg(
+    rows = with_waits(traces)
+    counts = rows.groupBy(*by).agg(
         F.count("planned_ns").alias("scheduled"), F.count("*").alias("sent"), F.count_if(done).alias("completed"), F.count_if(F.col("outcome") == "rejected").alias("rejected"),
         F.count_if(half).alias("aborted"), F.count_if(cut & ~half).alias("transport_errors"), F.count_if(F.col("outcome") == "timed_out").alias("timed_out"), F.count_if(F.col("status").between(500, 599)).alias("http_5xx"),
-        p("ttfc", 0.5).alias("ttfc_p50"), p("ttfc", 0.95).alias("ttfc_p95"), p("full", 0.5).alias("full_p50"), p("full", 0.95).alias("full_p95"), p("queue", 0.95).alias("queue_p95"), p("lag", 0.95).alias("lag_p95"), F.max("lag").alias("lag_max"),
-        F.try_divide(F.count_if(done & (F.col("cache_hit") == "true")), F.count_if(done)).alias("hit_rate"),
+        F.max("lag").alias("lag_max"), F.try_divide(F.count_if(done & (F.col("cache_hit") == "true")), F.count_if(done)).alias("hit_rate"),
     )
+    wanted = {"ttfc_p50": ("ttfc", 0.5), "ttfc_p95": ("ttfc", 0.95), "full_p50": ("full", 0.5), "full_p95": ("full", 0.95), "queue_p95": ("queue", 0.95), "lag_p95": ("lag", 0.95)}
+    found = stats.percentiles(rows, by, {v: F.col(v) for v in ("ttfc", "full", "queue", "lag")}, {k: (v, "ceil", p) for k, (v, p) in wanted.items()})
+    if not by:
+        return counts.crossJoin(found)  # one row each
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    return counts.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*(f"_{c}" for c in by))
 
 
 def fragment_gaps(traces: DataFrame) -> DataFrame:

@@ -157,9 +157,9 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", hashing.hex_mod(hashing.sha256(F.col("doc_id").cast("string")), 5).alias("bucket"))
 
 
-@query("exact_duplicates", "SELECT doc_id, r - 1 AS seen FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r > 1")
+@query("exact_duplicates", "SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id > first")
 def _(t: Tables) -> DataFrame:
-    return dedup.marked(t.documents.select("doc_id", "text"), F.col("text"), ["doc_id"]).where("seen > 0").select("doc_id", F.col("seen").cast("bigint").alias("seen"))
+    return dedup.later_copies(t.documents.select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "first")
 
 
 _HASH_KEY = f"sha256(coalesce(source, '') || chr(1) || {_norm('coalesce(text, chr(1))')})"
@@ -173,7 +173,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("dedup_anti_join", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r > 1)")
 def _(t: Tables) -> DataFrame:
-    drops = dedup.marked(t.documents.select("doc_id", "text"), F.col("text"), ["doc_id"]).where("seen > 0").select("doc_id")
+    drops = dedup.later_copies(t.documents.select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id")
     return t.documents.select("doc_id", "n_chars").join(drops, "doc_id", "left_anti")
 
 

@@ -38,12 +38,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("percentile_ceil", f"SELECT event_type, {_p('value', 0.5)} AS p50, {_p('value', 0.95)} AS p95 FROM events GROUP BY event_type")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(stats.percentile_ceil("value", 0.5).alias("p50"), stats.percentile_ceil("value", 0.95).alias("p95"))
+    return stats.percentiles(t.events, ["event_type"], {"v": F.col("value")}, {"p50": ("v", "ceil", 0.5), "p95": ("v", "ceil", 0.95)})
 
 
 @query("median_speed", "SELECT traffic, quantile_cont(queue_seconds, 0.5) AS median FROM warmup_fixed GROUP BY traffic")
 def _(t: Tables) -> DataFrame:
-    return t.warmup_fixed.groupBy("traffic").agg(F.median("queue_seconds").alias("median"))
+    return stats.percentiles(t.warmup_fixed, ["traffic"], {"q": F.col("queue_seconds")}, {"median": ("q", "linear", 0.5)})
 
 
 @query("latency_ms", "SELECT request_id, seq, (first_ns - sent_ns) / 1e6 AS ttfc, (finished_ns - sent_ns) / 1e6 AS full_ms FROM warmup_fixed")
@@ -76,7 +76,8 @@ WITH g AS (SELECT run, (fragment_ns[i + 1] - fragment_ns[i]) / 1e6 AS gap FROM (
 SELECT run, count(*) AS n, {_p('gap', 0.5)} AS gap_p50, {_p('gap', 0.95)} AS gap_p95 FROM g GROUP BY run""")
 def _(t: Tables) -> DataFrame:
     gaps = telemetry.fragment_gaps(t.warmup_fixed.where("outcome = 'completed'"))
-    return gaps.groupBy("run").agg(F.count("*").alias("n"), stats.percentile_ceil("gap", 0.5).alias("gap_p50"), stats.percentile_ceil("gap", 0.95).alias("gap_p95"))
+    found = stats.percentiles(gaps, ["run"], {"g": F.col("gap")}, {"gap_p50": ("g", "ceil", 0.5), "gap_p95": ("g", "ceil", 0.95)})
+    return gaps.groupBy("run").agg(F.count("*").alias("n")).join(found, "run")
 
 
 @query("fragment_order_check", """

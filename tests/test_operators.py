@@ -54,6 +54,29 @@ def test_three_percentiles_differ(spark):
     assert floor == {"g": 10} and rest["g"] == (pytest.approx(9.1), 9) and rest["none"] == (None, None)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_percentiles_of_any_size_equal_sorting(spark, seed):
+    import math
+
+    r = random.Random(seed)
+    data = [(r.choice(["hot"] * 6 + ["a", None, "b"]), r.choice([None, 0.0, r.random(), r.randint(0, 5) * 1.0]), r.randint(0, 9)) for _ in range(500)] + [("none", None, None)]
+    df = spark.createDataFrame(data, "k string, v double, w int").repartition(5)
+    wanted = {"c": ("v", "ceil", 0.95), "f": ("v", "floor", 0.9), "l": ("v", "linear", 0.3), "m": ("w", "linear", 0.5)}
+    got = {x["k"]: x for x in stats.percentiles(df, ["k"], {"v": F.col("v"), "w": F.col("w")}, wanted).collect()}
+    assert set(got) == {x[0] for x in data}
+    for k in got:
+        v, w = (sorted(x[c] for x in data if x[0] == k and x[c] is not None) for c in (1, 2))
+
+        def linear(x, p):
+            at = (len(x) - 1) * p
+            return x[math.floor(at)] + (x[math.ceil(at)] - x[math.floor(at)]) * (at - math.floor(at))
+
+        want = (v[max(0, math.ceil(len(v) * 0.95) - 1)], v[min(len(v) - 1, int(len(v) * 0.9))], linear(v, 0.3), linear(w, 0.5)) if v else (None,) * 4
+        assert all(g is None and x is None or g == pytest.approx(x) for g, x in zip((got[k]["c"], got[k]["f"], got[k]["l"], got[k]["m"]), want))
+    assert stats.percentiles(df.limit(0), ["k"], {"v": F.col("v")}, {"c": wanted["c"]}).count() == 0
+    assert stats.percentiles(df, [], {"v": F.col("v")}, {"c": wanted["c"]}).count() == 1
+
+
 def test_spread_and_weighted_mean(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 3, 2), ("b", 5, 0)], "k string, v int, w int")
     got = {r["k"]: r for r in stats.spread(df, ["k"], "v").collect()}
@@ -96,7 +119,7 @@ def test_diversity_and_its_gate(spark):
 
 def test_duplicates_first_and_greedy(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None), (5, "y")], "id int, t string")
-    assert rows(dedup.marked(df, F.col("t"), ["id"]).where("seen > 0").select("id")) == [(2,), (4,)]
+    assert rows(dedup.later_copies(df, F.col("t"), "id").select("id", "first")) == [(2, 1), (4, 3)]
     assert rows(dedup.first_of(df, F.col("t"), "id").select("id")) == [(1,), (3,), (5,)]
     # 1~2, 2~3, 3~4: 2 goes because of 1, so 3 stays, so 4 goes
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a int, b int")
