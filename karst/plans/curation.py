@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.functions import arrays, hashing, stats, text
+from karst.functions import hashing, stats, text
 from karst.operators import dedup, ledger, quality, sampling
 from karst.plans.catalog import Tables, query
 from karst.sources.staging import stage
