@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from karst.llm import trie
 from karst.llm.textwords import triples
-from karst.sources.staging import stage
+from karst.sources.staging import release, stage
 
 #: Classes of a block that are compared in one cell.
 BLOCK = 1024
@@ -105,9 +105,10 @@ def similar(texts: DataFrame, num: int, den: int, sides: bool = False) -> tuple[
     links across the sides count.
     """
     feats = stage(features(texts), "features")
-    members = feats.select("id", "flags", "k").distinct()
+    members = stage(feats.select("id", "flags", "k").distinct(), "members")
     classes = feats.groupBy("k").agg(F.min("id").alias("id"), F.bit_or("flags").alias("flags"))
     reps = stage(feats.drop("flags").join(classes, ["k", "id"]).drop("id"), "classes")
+    release(feats)
 
     each = reps.select("k", "flags", F.explode("grams").alias("gram"))
     least = F.expr(f"int((n * {num} + {den - 1}) div {den})")
