@@ -38,8 +38,8 @@ _NUMBERS = re.compile(
     r"|\d*[^\n\d]{0,30}\b(?:lane|street|st|ave|avenue|road|rd|drive|court|blvd)\b)"
 )
 _STREETS = re.compile(r"\b(?:ул|улица|улице|пр-т|пр|просп|проспект|проспекте|пер|переулок|переулке|б-р|бульвар|ш|шоссе|наб|набережная|пл|площадь)\b[^\n]{0,40}?\d")
-_NAMES = re.compile(rf"[{_BIG}](?:\.\s?[{_BIG}]\.|[{_LOW}]+[  ]+[{_BIG}](?:[{_LOW}]+|\.)|[{_BIG}]{{2,}}[  ]+[{_BIG}]{{3,}})")
-_INITIALS = re.compile(rf"(?<![{_LOW}])[{_LOW}]\.\s?[{_LOW}]\.\s?(?=[{_LOW}]{{4}})|(?<=[{_LOW}]{{4}}[  ])[{_LOW}]\.\s?[{_LOW}]\.")
+_NAMES = re.compile(rf"[{_BIG}](?:\.\s?[{_BIG}]\.|[{_LOW}]+\s+[{_BIG}](?:[{_LOW}]+|\.)|[{_BIG}]{{2,}}\s+[{_BIG}]{{3,}})")
+_INITIALS = re.compile(rf"(?<![{_LOW}])[{_LOW}]\.\s?[{_LOW}]\.\s?(?=[{_LOW}]{{4}})|[{_LOW}]{{4}}\s+[{_LOW}]\.\s?[{_LOW}]\.")
 _MARKED = {
     "@": re.compile("@"), "собака": re.compile("собака"), "at": re.compile(r"[(\[]\s?at\s?[)\]]|\bat\b[^\n]{1,30}\bdot\b"),
     **{w: re.compile(rf"\b{w}\b") for w in ("зовут", "пишет", "пациент", "сотрудник", "сообщает", "уважением", "regards", "спросите", "ответственный", "подпись", "my name", "фио")},

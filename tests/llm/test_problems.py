@@ -269,6 +269,12 @@ def test_scrubbing_changes_nothing_else(spark):
     assert pii.found_kinds(chats(spark, [])).count() == pii.scrubbed(chats(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["ЛОДГАМОВ\u00a0ЗАХАР", "лодгамов\u00a0з.м.", "лодгамов  з.м."])
+def test_names_joined_by_any_white_space(name):
+    text = f"Акт составил {name}."
+    assert [(text[a:b].rstrip("."), k) for a, b, k in pii.find([text])[0]] == [(name.rstrip("."), "name")]
+
+
 def test_codes_keep_their_places():
     text = "Аб😀ﬁ 1-‑\U00010437é\n"
     assert len(encode(text)) == len(text) and encode("") .size == 0
