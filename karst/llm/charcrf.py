@@ -49,6 +49,13 @@ def _sigmoid_tanh(z: np.ndarray, hidden: int) -> np.ndarray:
     return z
 
 
+def _logistic(z: np.ndarray) -> None:
+    """1 / (1 + exp(z)) in place; exp may reach infinity, which gives 0."""
+    np.exp(z, out=z)
+    z += 1.0
+    np.reciprocal(z, out=z)
+
+
 class Tagger:
     """Parameters and passes. Inputs are time-major: codes (T, B) and a mask of real characters."""
 
@@ -108,24 +115,64 @@ class Tagger:
 
     def emissions(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Tag scores (T, B, TAGS)."""
-        return self._run(codes, mask, keep=False)[0]
+        p, h_size = self.p, self.hidden
+        steps, batch = codes.shape
+        # a symbol and its case give the same input to the gates wherever they stand
+        each = (p["symbol"][None] + p["case"][:, None]).reshape(2 * SYMBOLS, -1)
+        table = np.matmul(each, p["wx"]) + p["b"]
+        # gates i, f, o by 1 / (1 + exp(-z)), g by tanh z = 2 / (1 + exp(-2 z)) - 1, as exp is quicker than tanh
+        sign = np.full(4 * h_size, -1.0, dtype=table.dtype)
+        sign[3 * h_size :] = -2.0
+        table, wh = table * sign, p["wh"] * sign
+        out = np.empty((2, steps, batch, TAGS), dtype=table.dtype)
+        h, c = (np.empty((batch, h_size), dtype=table.dtype) for _ in range(2))
+        z, x, tc = np.empty((batch, 4 * h_size), dtype=table.dtype), np.empty((batch, 4 * h_size), dtype=table.dtype), np.empty_like(c)
+        full = mask.all(axis=1)
+        with np.errstate(over="ignore"):
+            for d in range(2):
+                h[:] = c[:] = 0
+                last = p["out"][d * h_size : (d + 1) * h_size]
+                for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                    np.matmul(h, wh[d], out=z)
+                    np.take(table[d], codes[t], axis=0, out=x, mode="clip")
+                    z += x
+                    _logistic(z)
+                    g = z[:, 3 * h_size :]
+                    g *= 2.0
+                    g -= 1.0
+                    g *= z[:, :h_size]
+                    c *= z[:, h_size : 2 * h_size]
+                    c += g
+                    if not full[t]:
+                        c *= mask[t][:, None]
+                    np.multiply(c, -2.0, out=tc)
+                    _logistic(tc)
+                    tc *= 2.0
+                    tc -= 1.0
+                    np.multiply(z[:, 2 * h_size : 3 * h_size], tc, out=h)
+                    np.matmul(h, last, out=out[d, t])
+        return out[0] + out[1] + p["ob"]
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tags (T, B) under the transitions."""
         steps, batch, _ = scores.shape
-        back = np.zeros((steps, batch, TAGS), dtype=np.int8)
-        best = scores[0] + self.p["first"]
+        trans = self.p["trans"]
+        best = np.empty((steps, TAGS, batch), dtype=scores.dtype)  # of the paths that end in a tag
+        best[0] = (scores[0] + self.p["first"]).T
+        one, most = np.empty((TAGS, batch), dtype=scores.dtype), np.empty((TAGS, batch), dtype=scores.dtype)
         for t in range(1, steps):
-            step = best[:, :, None] + self.p["trans"]
-            back[t] = step.argmax(axis=1)
-            best = np.where((t < lengths)[:, None], step.max(axis=1) + scores[t], best)
+            np.add(best[t - 1][0], trans[0][:, None], out=most)
+            for k in range(1, TAGS):
+                np.add(best[t - 1][k], trans[k][:, None], out=one)
+                np.maximum(most, one, out=most)
+            np.add(most, scores[t].T, out=best[t])
         tags = np.zeros((steps, batch), dtype=np.int8)
-        now = best.argmax(axis=1)
-        rows = np.arange(batch)
+        now = np.zeros(batch, dtype=np.int64)
         for t in range(steps - 1, -1, -1):
-            inside = t < lengths
-            tags[t] = np.where(inside, now, 0)
-            now = np.where(inside & (t > 0), back[t, rows, now], now)
+            ends = lengths == t + 1
+            before = best[t] if t + 1 == steps else best[t] + np.where(ends, 0, trans[:, now])
+            now = before.argmax(axis=0)
+            tags[t] = np.where(t < lengths, now, 0)
         return tags
 
     def loss(self, codes: np.ndarray, mask: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

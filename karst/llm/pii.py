@@ -1,10 +1,9 @@
 """Private data of people inside chat messages (problem 5).
 
-Places that could hold private data are found by wide patterns: at signs, long digit runs,
-dates, street words with a number, initials, two names in a row, words that introduce a
-person. Around each of them the character tagger (charcrf.py) reads overlapping windows;
-their tag scores are averaged where they overlap, and the best tag path is decoded over
-the whole stretch, however long. Decoded spans must have the parts that their kind needs.
+The character tagger (charcrf.py) reads overlapping windows over the whole of every
+message; their tag scores are averaged where they overlap, and the best tag path is decoded
+over the whole message, however long. Equal windows are scored once. Decoded spans must have
+the parts that their kind needs.
 """
 
 from __future__ import annotations
@@ -24,31 +23,15 @@ from karst.llm.charcrf import KINDS, TAGS, Tagger, encode
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 WINDOW = 96
 STRIDE = 48
-MARGIN = 36
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-_BATCH = 256
-
-_BIG, _LOW = "A-ZА-ЯЁ", "a-zа-яё"
-# Patterns of the gate by what they begin with, so that each passes over most characters quickly; those below a
-# word are tried only in texts that hold it. All but _NAMES read the text in lower case.
-_NUMBERS = re.compile(
-    r"\d(?:(?:[\s().\-‐-―−+№n/]{0,4}\d){8,}"
-    r"|\d{0,3}[./\-‐-―]\d{1,2}[./\-‐-―]\d{2,4}\b"
-    r"|\d?\s+(?:янв|фев|мар|апр|ма[йя]|июн|июл|авг|сен|окт|ноя|дек|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\.?,?\s+\d{4}"
-    r"|\d*[^\n\d]{0,30}\b(?:lane|street|st|ave|avenue|road|rd|drive|court|blvd)\b)"
-)
-_STREETS = re.compile(r"\b(?:ул|улица|улице|пр-т|пр|просп|проспект|проспекте|пер|переулок|переулке|б-р|бульвар|ш|шоссе|наб|набережная|пл|площадь)\b[^\n]{0,40}?\d")
-_NAMES = re.compile(rf"[{_BIG}](?:\.\s?[{_BIG}]\.|[{_LOW}]+\s+[{_BIG}](?:[{_LOW}]+|\.)|[{_BIG}]{{2,}}\s+[{_BIG}]{{3,}})")
-_INITIALS = re.compile(rf"(?<![{_LOW}])[{_LOW}]\.\s?[{_LOW}]\.\s?(?=[{_LOW}]{{4}})|[{_LOW}]{{4}}\s+[{_LOW}]\.\s?[{_LOW}]\.")
-_MARKED = {
-    "@": re.compile("@"), "собака": re.compile("собака"), "at": re.compile(r"[(\[]\s?at\s?[)\]]|\bat\b[^\n]{1,30}\bdot\b"),
-    **{w: re.compile(rf"\b{w}\b") for w in ("зовут", "пишет", "пациент", "сотрудник", "сообщает", "уважением", "regards", "спросите", "ответственный", "подпись", "my name", "фио")},
-    "добрый": re.compile(r"\bдобрый\s+день\b"),
-}
+_BATCH = 512
+#: Characters that are tagged at once, and of a block with its padding, unless one text alone has more.
+_AT_ONCE = 400_000
+
 _DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _AT = re.compile(r"\S@[^\s@]+\.[^\W\d_]{2}|собака.*точка|[(\[]?\s?(?:at|собака)\s?[)\]]?.*(?:dot|точка)", re.IGNORECASE | re.DOTALL)
-_DATE = re.compile(r"\d{1,4}\D{1,3}\d{1,2}\D{1,3}\d{2,4}|\d{1,2}\s+[^\W\d_]+\s+\d{4}")
+_DATE = re.compile(r"\d{1,4}\D{1,3}\d{1,2}\D{1,3}\d{2,4}|\d{1,2}\s+[^\W\d_]+\s+\d{4}|[^\W\d_]{3,}\.?\s+\d{1,2}\D{0,4}\s+\d{4}")
 
 
 def _whole(kind: str, span: str) -> bool:
@@ -57,7 +40,7 @@ def _whole(kind: str, span: str) -> bool:
     if kind == "email":
         return bool(_AT.search(span))
     if kind == "phone":
-        return 9 <= digits <= 18
+        return 5 <= digits <= 18
     if kind == "id_number":
         return 8 <= digits <= 20
     if kind == "address":
@@ -73,34 +56,28 @@ def tagger() -> Tagger:
     return Tagger.load(MODEL)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text to be read: matches of the gate with MARGIN on both sides, united where they touch."""
-    low = text.lower()
-    if len(low) != len(text):  # a few capitals are longer in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    hits = [m.span() for p, t in ((_NUMBERS, low), (_STREETS, low), (_NAMES, text), (_INITIALS, low)) for m in p.finditer(t)]
-    hits += [m.span() for word, p in _MARKED.items() if word in low for m in p.finditer(low)]
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(hits):
-        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _chunks(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Places by length, in blocks of _BATCH that hold no more than _AT_ONCE characters with their padding."""
     order = np.argsort(lengths, kind="stable")
-    for at in range(0, len(order), _BATCH):
-        yield order[at : at + _BATCH]
+    at = 0
+    while at < len(order):
+        to = min(at + _BATCH, len(order))
+        while to > at + 1 and (to - at) * int(lengths[order[to - 1]]) > _AT_ONCE:
+            to = at + (to - at) // 2
+        yield order[at:to]
+        at = to
 
 
 def tag(texts: list[str], model: Tagger) -> list[np.ndarray]:
     """Tags of each text: windows are scored, averaged where they overlap, and decoded as a whole."""
     codes = [encode(t) for t in texts]
-    where = [(k, at) for k, c in enumerate(codes) for at in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE)]
-    lengths = np.array([min(WINDOW, len(codes[k]) - at) for k, at in where], dtype=np.int64)
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for k, c in enumerate(codes):
+        for at in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE):
+            places.setdefault(c[at : at + WINDOW].tobytes(), []).append((k, at))
+    windows = [np.frombuffer(w, dtype=np.int16) for w in places]
+    where = list(places.values())
+    lengths = np.array([len(w) for w in windows], dtype=np.int64)
     scores = [np.zeros((len(c), TAGS), dtype=np.float32) for c in codes]
     seen = [np.zeros(len(c), dtype=np.float32) for c in codes]
     # characters amid a window are read with more around them and count more
@@ -108,15 +85,15 @@ def tag(texts: list[str], model: Tagger) -> list[np.ndarray]:
         steps = int(lengths[some].max())
         block = np.zeros((steps, len(some)), dtype=np.int16)
         for b, w in enumerate(some):
-            k, at = where[w]
-            block[: lengths[w], b] = codes[k][at : at + lengths[w]]
+            block[: lengths[w], b] = windows[w]
         out = model.emissions(block, np.arange(steps)[:, None] < lengths[some])
         for b, w in enumerate(some):
-            k, at = where[w]
             n = int(lengths[w])
             share = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)
-            scores[k][at : at + n] += out[:n, b] * share[:, None]
-            seen[k][at : at + n] += share
+            weighted = out[:n, b] * share[:, None]
+            for k, at in where[w]:
+                scores[k][at : at + n] += weighted
+                seen[k][at : at + n] += share
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     tags: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
     for some in _chunks(sizes):
@@ -153,29 +130,40 @@ def _whole_words(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     return start, end
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[int]]:
+    """Places of texts that aren't null or empty, of _AT_ONCE characters or one text at a time."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        if t:
+            if group and size + len(t) > _AT_ONCE:
+                yield group
+                group, size = [], 0
+            group.append(k)
+            size += len(t)
+    if group:
+        yield group
+
+
 def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the private data of each text; null and empty texts have none."""
     model = tagger()
-    parts = [(k, a, b) for k, t in enumerate(texts) if t for a, b in stretches(t)]
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    upto = 0  # spans of a text don't overlap after growing
-    last = -1
-    for (k, a, b), tags in zip(parts, tag([texts[k][a:b] for k, a, b in parts], model)):
-        for start, end, kind in spans_of(tags):
-            while end > start and texts[k][a + end - 1].isspace():
-                end -= 1
-            while end > start and texts[k][a + start].isspace():
-                start += 1
-            start, end = _whole_words(texts[k], a + start, a + end, KINDS[kind])
-            start, end = start - a, end - a
-            span = texts[k][a + start : a + end]
-            if span.endswith(".") and (KINDS[kind] != "name" or len((_LETTERS.findall(span) or [""])[-1]) > 2):
-                end -= 1  # the end of the sentence
-            if k != last:
-                last, upto = k, 0
-            if a + start >= upto and _whole(KINDS[kind], texts[k][a + start : a + end]):
-                found[k].append((a + start, a + end, KINDS[kind]))
-                upto = a + end
+    for group in _groups(texts):
+        for k, tags in zip(group, tag([texts[k] for k in group], model)):
+            text = texts[k]
+            upto = 0  # spans don't overlap after growing
+            for start, end, kind in spans_of(tags):
+                while end > start and text[end - 1].isspace():
+                    end -= 1
+                while end > start and text[start].isspace():
+                    start += 1
+                start, end = _whole_words(text, start, end, KINDS[kind])
+                span = text[start:end]
+                if span.endswith(".") and (KINDS[kind] != "name" or len((_LETTERS.findall(span) or [""])[-1]) > 2):
+                    end -= 1  # the end of the sentence
+                if start >= upto and _whole(KINDS[kind], text[start:end]):
+                    found[k].append((start, end, KINDS[kind]))
+                    upto = end
     return found
 
 

@@ -275,6 +275,46 @@ def test_names_joined_by_any_white_space(name):
     assert [(text[a:b].rstrip("."), k) for a, b, k in pii.find([text])[0]] == [(name.rstrip("."), "name")]
 
 
+@pytest.mark.parametrize(("text", "span", "kind"), [("Report by J. Dulov", "J. Dulov", "name"), ("паспорт серии 4508 номер 123456", "4508 номер 123456", "id_number"), ("проезд Лесной, д. 5", "Лесной, д. 5", "address"), ("Контактное лицо: гамов захар.", "гамов захар", "name")])
+def test_forms_without_a_known_pattern(text, span, kind):
+    assert any(span in text[a:b] and k == kind for a, b, k in pii.find([text])[0])
+
+
+def test_the_tagger_reads_every_message_whole(monkeypatch):
+    from karst.llm import pii_train
+
+    r = random.Random(12)
+    texts = [pii_train._example(r, ["Какая темная птица обогнала маяк?"])[0] for _ in range(200)] + ["без примет", "слово " * 300]
+    read, tag = [], pii.tag
+    monkeypatch.setattr(pii, "_AT_ONCE", 1000)
+    monkeypatch.setattr(pii, "tag", lambda some, model: read.extend(some) or tag(some, model))
+    parts = pii.find([None, "", *texts])
+    assert read == texts and parts[:2] == [[], []]
+    monkeypatch.undo()
+    assert pii.find(texts) == parts[2:]
+
+
+def test_short_phones_and_english_dates_are_whole():
+    assert pii._whole("phone", "123-45-67") and not pii._whole("phone", "12-34")
+    assert pii._whole("birth_date", "March 12, 1980") and not pii._whole("birth_date", "March 1980")
+
+
+def test_passes_without_gradients_equal_those_with():
+    r = np.random.default_rng(4)
+    model = Tagger(6, 7)
+    lengths = r.integers(1, 21, 9)
+    codes, mask = r.integers(3, 190, (20, 9)), np.arange(20)[:, None] < lengths
+    got, want = model.emissions(codes, mask), model._run(codes, mask, keep=False)[0]
+    assert np.abs((got - want)[mask]).max() < 1e-4
+    best = model.viterbi(want, lengths)
+    for b, n in enumerate(lengths[:4]):
+        if n <= 3:
+            continue
+        score = lambda tags: model.p["first"][tags[0]] + want[np.arange(n), b, tags].sum() + model.p["trans"][tags[:-1], tags[1:]].sum()
+        tags = best[:n, b].astype(int)
+        assert all(score(np.r_[tags[:t], k, tags[t + 1 :]]) <= score(tags) + 1e-4 for t in range(n) for k in range(TAGS)) and not best[n:, b].any()
+
+
 def test_codes_keep_their_places():
     text = "Аб😀ﬁ 1-‑\U00010437é\n"
     assert len(encode(text)) == len(text) and encode("") .size == 0
