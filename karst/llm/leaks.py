@@ -4,8 +4,12 @@ Windows of a fixed number of words of items and documents are embedded by a CGK
 walk, which turns edit distance into Hamming distance: at each of 3 * window steps the
 word under the pointer is written, and the pointer moves on or stays by a random bit of
 that word and step. Bit-sampling LSH compares a few places of the embedding; equal windows
-agree in all of them, near ones in some repetition. Hits are verified by edit distance on
-the words.
+agree in all of them. Hits are verified by edit distance on the words.
+
+With edits the walk would lose some, so windows are found by pieces instead: of edits + 1
+pieces that an item's window is cut into, one stands unchanged in any run of words within
+that many edits, moved by no more than as many words. Runs of window - edits to window +
+edits words around each equal piece are verified, so none is lost.
 """
 
 from __future__ import annotations
@@ -60,8 +64,8 @@ def _padded(parts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([*parts, np.zeros(window + 1, dtype=np.uint64)]), np.repeat(first, whole) + within, owner
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance of each row of a to the same row of b, insertions, deletions and replacements costing one."""
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distance of each row of a to every beginning of the same row of b, insertions, deletions and replacements costing one."""
     n, m = a.shape[1], b.shape[1]
     row = np.tile(np.arange(m + 1), (len(a), 1))
     for i in range(1, n + 1):
@@ -70,17 +74,42 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for j in range(1, m + 1):
             new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
         row = new
-    return row[:, m]
+    return row
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distance of each row of a to the same row of b."""
+    return _last_row(a, b)[:, b.shape[1]]
+
+
+def least_distances(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Least edit distance of each row of a to the first n - edits or more words of the same row of b."""
+    return _last_row(a, b)[:, max(a.shape[1] - edits, 0) :].min(axis=1)
+
+
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place; the last places have none."""
+    key = np.zeros(max(len(hashes) - size + 1, 0), dtype=np.uint64)
+    for j in range(size):
+        key = (key ^ hashes[j : j + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
 
 
 class Index:
-    """LSH tables over the windows of a set of items."""
+    """Tables over the windows of a set of items: of walks for equal windows, of pieces for near ones.
+
+    ``places`` and ``repeats`` are those of the walks; pieces need none.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], window: int, edits: int, places: int, repeats: int, seed: int) -> None:
         self.walk, self.edits = Walk(window, places, repeats, seed), edits
         self.numbers = np.array([i for i, _ in items], dtype=np.int64)
         self.hashes, self.starts, self.owner = _padded([word_hashes(t) for _, t in items], window)
         self.tables = []
+        if edits:
+            self._cut()
+            return
         for r in range(repeats):
             keys = self.walk.keys(self.hashes, self.starts, r)
             order = np.argsort(keys, kind="stable")
@@ -88,8 +117,69 @@ class Index:
             there[(keys >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((keys[order], order, there))
 
+    def _cut(self) -> None:
+        """Tables (size, offset, hashes, windows) of the pieces; equal windows are one."""
+        window, pieces = self.walk.window, self.edits + 1
+        rows = self.hashes[self.starts[:, None] + np.arange(window)]
+        self.windows, same = np.unique(rows, axis=0, return_inverse=True)
+        order = np.argsort(same.reshape(-1), kind="stable")
+        self.holders = self.numbers[self.owner[order]]  # items by window, first and last in bounds
+        self.bounds = np.searchsorted(same.reshape(-1)[order], np.arange(len(self.windows) + 1))
+        held = set(self.windows.reshape(-1).tolist())
+        self.none = next(np.uint64(k) for k in range(len(held) + 1) if k not in held)
+        cuts = [window * k // pieces for k in range(pieces + 1)]
+        for offset, end in zip(cuts, cuts[1:]):
+            keys = np.array([], dtype=np.uint64) if not len(self.windows) else _runs(self.windows[:, offset:end].reshape(-1), end - offset)[:: end - offset]
+            by = np.argsort(keys, kind="stable")
+            self.tables.append((end - offset, offset, keys[by], by))
+
+    def _near(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (position in parts, item number) of items with a window within ``edits`` of a run of words."""
+        window, edits = self.walk.window, self.edits
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        hashes = np.concatenate([*parts, np.zeros(window + edits, dtype=np.uint64)])
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        first = ends - sizes
+        span = np.arange(window + edits)
+        found = []
+        for size, offset, keys, by in self.tables:
+            key = _runs(hashes[: len(owner)], size)
+            for at in range(0, len(key), _SLICE):
+                mine = key[at : at + _SLICE]
+                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                hit = np.flatnonzero(hi > lo)
+                many = (hi - lo)[hit]
+                upto = np.cumsum(many)
+                total = int(upto[-1]) if len(upto) else 0
+                for cut in range(0, total, _SLICE):
+                    one = np.arange(cut, min(cut + _SLICE, total))
+                    k = np.searchsorted(upto, one, "right")
+                    w = by[lo[hit[k]] + one - (upto[k] - many[k])]
+                    place = hit[k] + at
+                    for shift in range(-edits, edits + 1):
+                        start = place - offset + shift
+                        who = owner[place]
+                        ok = np.flatnonzero((start >= first[who]) & (start < ends[who]))
+                        if not len(ok):
+                            continue
+                        where = start[ok][:, None] + span
+                        outside = where >= ends[who[ok]][:, None]
+                        a, b = self.windows[w[ok]], hashes[np.minimum(where, len(hashes) - 1)]
+                        # a word that no item's word equals stands for what is behind the end
+                        b[outside] = self.none
+                        near = ok[least_distances(a, b, edits) <= edits]
+                        found.append(np.unique(np.stack([who[near], w[near]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+        count = self.bounds[pairs[:, 1] + 1] - self.bounds[pairs[:, 1]]
+        each = np.repeat(self.bounds[pairs[:, 1]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        hits = np.unique(np.stack([np.repeat(pairs[:, 0], count), self.holders[each]], axis=1), axis=0)
+        return hits[:, 0], hits[:, 1]
+
     def search(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (position in parts, item number) of verified windows."""
+        if self.edits:
+            return self._near(parts)
         window = self.walk.window
         hashes, starts, owner = _padded(parts, window)
         found = []
@@ -106,16 +196,17 @@ class Index:
                 for cut in range(0, len(which), _SLICE):
                     w, i = which[cut : cut + _SLICE], items[cut : cut + _SLICE]
                     a, b = hashes[mine[w][:, None] + span], self.hashes[self.starts[i][:, None] + span]
-                    near = (a == b).all(axis=1) if not self.edits else edit_distances(a, b) <= self.edits
+                    near = (a == b).all(axis=1)
                     found.append(np.stack([who[w[near]], self.numbers[self.owner[i[near]]]], axis=1))
         hits = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
         return hits[:, 0], hits[:, 1]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, window: int = 10, edits: int = 0, places: int = 10, repeats: int = 1, seed: int = 8) -> DataFrame:
-    """Distinct (doc_id, item_no) where a window of the item is within ``edits`` of one of the document.
+    """Distinct (doc_id, item_no) where a window of the item is within ``edits`` of a run of words of the document.
 
-    With edits = 0 the walk of equal windows is equal, so one repetition finds all. Null ids
+    All are found: with edits = 0 the walk of equal windows is equal, so one repetition does; with
+    edits, which must be fewer than the words of a window, ``places`` and ``repeats`` don't count. Null ids
     are left out; null, empty and shorter texts hold no window. Items are a given query set,
     sent in blocks of BLOCK_CHARS characters.
     """

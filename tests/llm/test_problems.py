@@ -456,6 +456,42 @@ def test_recall_of_windows_with_an_edit():
     assert len({d for d, i in zip(found, numbers) if d == i}) / 300 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["put in", "left out", "replaced"])
+def test_every_window_with_an_edit_is_found(kind):
+    r = random.Random(kind)
+    v = [f"w{k}" for k in range(400)]
+    items = [(n, " ".join(r.choices(v, k=10 + n % 7))) for n in range(300)]
+    index = leaks.Index(items, 10, 1, 6, 6, 8)
+    parts = []
+    for n, t in items:
+        w = t.split()
+        at = r.randrange(len(w) // 2 - 1, len(w) // 2 + 2)
+        w[at : at + (kind != "put in")] = [] if kind == "left out" else ["other"]
+        parts.append(leaks.word_hashes(" ".join(r.choices(v, k=n % 3) + w + r.choices(v, k=n % 2))))
+    found, numbers = index.search(parts)
+    assert {d for d, i in zip(found, numbers) if d == i} == set(range(300))
+
+
+def _least(a, b):
+    return leaks.edit_distances(np.array([a]), np.array([b]).reshape(1, -1))[0]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_leaks_equal_brute_force(edits):
+    r = random.Random(edits)
+    items = [(n, " ".join(r.choices("abc", k=r.choice([0, 5, 6, 7, 9])))) for n in range(25)]
+    texts = [" ".join(r.choices("abcd", k=r.randint(0, 12))) for _ in range(30)]
+    found, numbers = leaks.Index(items, 6, edits, 6, 6, 8).search([leaks.word_hashes(t) for t in texts])
+    want = set()
+    for d, t in enumerate(texts):
+        h = leaks.word_hashes(t)
+        for n, x in items:
+            g = leaks.word_hashes(x)
+            if any(_least(g[i : i + 6], h[j : j + m]) <= edits for i in range(len(g) - 5) for m in range(6 - edits, 7 + edits) for j in range(len(h) - m + 1)):
+                want.add((d, n))
+    assert set(zip(found.tolist(), numbers.tolist())) == want and want and len(found) == len(want)
+
+
 def test_edit_distances():
     a = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 3]], dtype=np.uint64)
     b = np.array([[1, 2, 3], [1, 9, 3], [2, 3, 4]], dtype=np.uint64)
