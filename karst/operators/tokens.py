@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import arrays
+from karst.operators.sampling import global_rank
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -43,43 +47,66 @@ def padded(df: DataFrame, batch: str, ids: str, labels: str, pad_id: int, left:
     return whole.withColumns({"attention": arrays.pad(arrays.attention(F.col(ids)), F.col("width"), 0, left), ids: arrays.pad(F.col(ids), F.col("width"), pad_id, left), labels: arrays.pad(F.col(labels), F.col("width"), arrays.PAD_LABEL, left)})
 
 
+def first_fit_runs(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(place, arrays a bin, first bin) of first-fit decreasing over counts of lengths, given as (length, count), longest first.
+
+    Arrays from a place on, in order of length, go that many to a bin. Equal arrays fill one bin
+    after the other, so bins are kept as runs of equal room, a few for each length.
+    """
+    bins: list[list[int]] = []  # first bin, number of bins, room in each
+    out, place, used = [], 0, 0
+    for length, need in counts:
+        after = []
+        for first, n, room in bins:
+            each = room // length
+            if need and each:
+                full = min(n, need // each)
+                rest = need - full * each if full < n else 0
+                for k, times in ((each, full), (rest, 1 if rest else 0)):
+                    if times:
+                        out.append((place, k, first))
+                        after.append([first, times, room - k * length])
+                        place, need, first, n = place + k * times, need - k * times, first + times, n - times
+            if n:
+                after.append([first, n, room])
+        each = max(capacity // length, 1)
+        full, rest = divmod(need, each)
+        for k, times in ((each, full), (rest, 1 if rest else 0)):
+            if times:
+                out.append((place, k, used))
+                after.append([used, times, max(capacity, length) - k * length])
+                place, used = place + k * times, used + times
+        bins = [b for b in after if b[2]]
+    return out
+
+
 def first_fit(df: DataFrame, key: str, length: str, capacity: int, shards: int) -> DataFrame:
     """(key, length, shard, bin): first-fit decreasing within shards by hash of the key; ties by key.
 
     An array longer than the capacity has a bin of its own. Null and zero lengths have none.
-    One shard gives the sequential result over all rows; more shards run side by side.
+    One shard gives the sequential result over all rows, of any number: bins follow from the
+    counts of the lengths, which are collected, and from each row's rank.
     """
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([length, key], ascending=[False, True], kind="stable")
-        size = 1
-        while size < max(len(rows), 1):
-            size *= 2
-        room = [0] * (2 * size)  # tree over bins: most room below a node
-        used, out = 0, []
-        for need in rows[length]:
-            need = int(need)
-            if room[1] >= need:
-                at = 1
-                while at < size:
-                    at *= 2
-                    if room[at] < need:
-                        at += 1
-            else:
-                at = size + used
-                used += 1
-                room[at] = max(capacity, need)
-            out.append(at - size)
-            room[at] -= need
-            while at > 1:
-                at //= 2
-                room[at] = max(room[2 * at], room[2 * at + 1])
-        rows["bin"] = out
-        return rows[[key, length, "shard", "bin"]]
-
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     sharded = df.where(F.col(length) > 0).select(key, length, F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(pack, f"{key} {kind[key]}, {length} {kind[length]}, shard int, bin int")
+
+    def pack(rows: DataFrame) -> DataFrame:
+        # arrays from the capacity on have a bin each, so they count as one length
+        size = F.least(F.col(length), F.lit(capacity)).cast("int").alias("size")
+        counts = sorted(((r["size"], r["count"]) for r in rows.groupBy(size).count().collect()), reverse=True)
+        begin, each, first = (np.array(c, dtype=np.int64) for c in zip(*first_fit_runs(counts, capacity) or [(0, 1, 0)]))
+
+        @F.pandas_udf("int")
+        def place(rank: pd.Series) -> pd.Series:
+            at = rank.to_numpy() - 1
+            run = np.searchsorted(begin, at, "right") - 1
+            return pd.Series((first[run] + (at - begin[run]) // each[run]).astype(np.int32))
+
+        ranked = global_rank(rows, [F.col(length).desc(), F.col(key).asc_nulls_last()], "rank")
+        return ranked.select(key, length, "shard", place("rank").alias("bin"))
+
+    parts = [pack(sharded.where(F.col("shard") == s)) for s in range(shards)]
+    return reduce(DataFrame.unionAll, parts).select(F.col(key).cast(kind[key]), F.col(length).cast(kind[length]), "shard", "bin")
 
 
 def packing_report(packed: DataFrame, length: str, capacity: int, batch: int) -> DataFrame:

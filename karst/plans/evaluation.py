@@ -306,7 +306,7 @@ def _(t: Tables) -> DataFrame:
 
 def _packed(t: Tables) -> DataFrame:
     sized = t.encode_example.select("seq_no", F.size("input_ids").alias("n"))
-    return tokens.first_fit(sized, "seq_no", "n", 384, max(1, sized.count() // 50_000))
+    return tokens.first_fit(sized, "seq_no", "n", 384, 1)
 
 
 @query("pack_first_fit")

@@ -210,6 +210,30 @@ def test_padding_and_first_fit(spark):
     assert report["before"] == 10 and report["after"] == len(bins)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_first_fit_equals_one_list(spark, seed):
+    r = random.Random(seed)
+    sizes = [r.choice([0, 1, 2, 3, r.randint(1, 20), r.randint(1, 20), 25]) for _ in range(400)]
+    room, want = [], {}
+    for k in sorted((k for k, n in enumerate(sizes) if n), key=lambda k: (-sizes[k], k)):
+        at = next((b for b, x in enumerate(room) if x >= sizes[k]), len(room))
+        room[at:] = room[at:] or [max(20, sizes[k])]
+        room[at] -= sizes[k]
+        want[k] = at
+    df = spark.createDataFrame(list(enumerate(sizes)) + [(900, None)], "k int, n int")
+    assert {x["k"]: x["bin"] for x in tokens.first_fit(df, "k", "n", 20, 1).collect()} == want
+    assert tokens.first_fit(df.limit(0), "k", "n", 20, 1).count() == 0
+
+
+def test_many_rows_are_packed_as_one_list(spark, tmp_path):
+    from karst.plans import PLANS
+
+    spark.range(100_001).select(F.col("id").alias("seq_no"), F.array_repeat(F.lit(1), 150).alias("input_ids")).write.parquet(f"{tmp_path}/encode_example.parquet")
+    wrong = PLANS["pack_first_fit"](spark, str(tmp_path)).where("shard <> 0 or bin <> seq_no div 2")
+    assert wrong.count() == 0
+    assert PLANS["packing_report"](spark, str(tmp_path)).first()["after"] == 50_001
+
+
 def test_strict_scoring(spark):
     tasks = spark.createDataFrame([(str(n), "A", ["A", "B"], ["x", "y"]) for n in range(8)], "id string, expected string, choices array<string>, slices array<string>")
     raws = ['{"answer": "A"}', '{"answer": "B"}', '{"answer": "A", "answer": "A"}', '{"answer": 1}', '{"answer": "Z"}', "A", None, '{"answer": "A", "x": 1}']
