@@ -4,7 +4,8 @@ Features are the repeated shares of hashed word and character n-grams. A logisti
 regression over them, trained on rows labelled by their exact share and calibrated on
 others, scores every document in Arrow batches. Its weights are not negative, so the
 score of a document that repeats at least LIMIT of its five-word sequences can't be lower
-than ``Scorer.threshold``: no such document is lost, and an exact count checks the rest.
+than ``Scorer.threshold``: no such document is lost. The exact count, made for every document,
+decides; the model can't change a row.
 """
 
 from __future__ import annotations

@@ -531,6 +531,15 @@ def test_the_score_loses_no_repetitive_text():
     assert (model(np.zeros(len(model.weights))) < model.threshold).all()
 
 
+def test_the_exact_share_decides_without_the_model():
+    r = random.Random(6)
+    texts = [" ".join(["a", "b", "c"] * r.randint(0, 10) + [f"u{k}" for k in range(r.randint(0, 30))]) for _ in range(200)]
+    rows = [repetition.features(t) for t in texts]
+    exact = [n > 0 and (n - d) * 10 >= 3 * n for _, n, d in rows]
+    model = repetition.scorer()
+    assert any(exact) and all(model(x)[0] >= model.threshold for (x, _, _), e in zip(rows, exact) if e)
+
+
 def test_a_fit_is_calibrated():
     r = random.Random(4)
     texts = []
