@@ -210,6 +210,12 @@ def test_padding_and_first_fit(spark):
     assert report["before"] == 10 and report["after"] == len(bins)
 
 
+def test_group_split_has_no_limit_of_groups(spark):
+    df = spark.range(2_000_001).select(F.col("id").cast("string").alias("grp"))
+    n = {r["split"]: r["count"] for r in sampling.group_split(df, "grp", {"train": 0.8, "val": 0.1, "test": 0.1}, 42).groupBy("split").count().collect()}
+    assert sum(n.values()) == 2_000_001 and abs(n["train"] - 1_600_001) <= 1 and abs(n["val"] - 200_000) <= 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_first_fit_equals_one_list(spark, seed):
     r = random.Random(seed)
