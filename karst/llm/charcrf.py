@@ -49,13 +49,6 @@ def _sigmoid_tanh(z: np.ndarray, hidden: int) -> np.ndarray:
     return z
 
 
-def _logistic(z: np.ndarray) -> None:
-    """1 / (1 + exp(z)) in place; exp may reach infinity, which gives 0."""
-    np.exp(z, out=z)
-    z += 1.0
-    np.reciprocal(z, out=z)
-
-
 class Tagger:
     """Parameters and passes. Inputs are time-major: codes (T, B) and a mask of real characters."""
 
@@ -114,44 +107,44 @@ class Tagger:
         return top @ p["out"] + p["ob"], top, both, hs, live, kept
 
     def emissions(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, TAGS)."""
+        """Tag scores (T, B, TAGS). Each gate is an array of its own, so that every step works on whole arrays."""
         p, h_size = self.p, self.hidden
         steps, batch = codes.shape
         # a symbol and its case give the same input to the gates wherever they stand
         each = (p["symbol"][None] + p["case"][:, None]).reshape(2 * SYMBOLS, -1)
-        table = np.matmul(each, p["wx"]) + p["b"]
-        # gates i, f, o by 1 / (1 + exp(-z)), g by tanh z = 2 / (1 + exp(-2 z)) - 1, as exp is quicker than tanh
-        sign = np.full(4 * h_size, -1.0, dtype=table.dtype)
-        sign[3 * h_size :] = -2.0
-        table, wh = table * sign, p["wh"] * sign
+        table = (np.matmul(each, p["wx"]) + p["b"]).reshape(2, 2 * SYMBOLS, 4, h_size).transpose(0, 2, 1, 3)
+        wh = p["wh"].reshape(2, h_size, 4, h_size).transpose(0, 2, 1, 3)
+        # the logistic function is (1 + tanh(z / 2)) / 2
+        half = np.array([0.5, 0.5, 0.5, 1.0], dtype=table.dtype)[:, None, None]
+        table, wh = np.ascontiguousarray(table * half), np.ascontiguousarray(wh * half)
         out = np.empty((2, steps, batch, TAGS), dtype=table.dtype)
-        h, c = (np.empty((batch, h_size), dtype=table.dtype) for _ in range(2))
-        z, x, tc = np.empty((batch, 4 * h_size), dtype=table.dtype), np.empty((batch, 4 * h_size), dtype=table.dtype), np.empty_like(c)
+        h, c, one = (np.empty((batch, h_size), dtype=table.dtype) for _ in range(3))
+        z, x = (np.empty((4, batch, h_size), dtype=table.dtype) for _ in range(2))
+        gates, (i, f, o, g) = z[:3], z
+        codes = codes.astype(np.intp)
         full = mask.all(axis=1)
-        with np.errstate(over="ignore"):
-            for d in range(2):
-                h[:] = c[:] = 0
-                last = p["out"][d * h_size : (d + 1) * h_size]
-                for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                    np.matmul(h, wh[d], out=z)
-                    np.take(table[d], codes[t], axis=0, out=x, mode="clip")
-                    z += x
-                    _logistic(z)
-                    g = z[:, 3 * h_size :]
-                    g *= 2.0
-                    g -= 1.0
-                    g *= z[:, :h_size]
-                    c *= z[:, h_size : 2 * h_size]
-                    c += g
-                    if not full[t]:
-                        c *= mask[t][:, None]
-                    np.multiply(c, -2.0, out=tc)
-                    _logistic(tc)
-                    tc *= 2.0
-                    tc -= 1.0
-                    np.multiply(z[:, 2 * h_size : 3 * h_size], tc, out=h)
-                    np.matmul(h, last, out=out[d, t])
-        return out[0] + out[1] + p["ob"]
+        for d in range(2):
+            h[:] = c[:] = 0
+            last = p["out"][d * h_size : (d + 1) * h_size]
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                for k in range(4):
+                    np.matmul(h, wh[d, k], out=z[k])
+                    np.take(table[d, k], codes[t], axis=0, out=x[k], mode="clip")
+                z += x
+                np.tanh(z, out=z)
+                gates += 1.0
+                gates *= 0.5
+                c *= f
+                i *= g
+                c += i
+                if not full[t]:
+                    c *= mask[t][:, None]
+                np.tanh(c, out=one)
+                np.multiply(o, one, out=h)
+                np.matmul(h, last, out=out[d, t])
+        out[0] += out[1]
+        out[0] += p["ob"]
+        return out[0]
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tags (T, B) under the transitions."""
@@ -239,21 +232,3 @@ class Tagger:
         np.add.at(g["symbol"], codes % SYMBOLS, dx)
         np.add.at(g["case"], codes // SYMBOLS, dx)
         return float((total - gold).sum() / count), g
-
-
-def fit(tagger: Tagger, batches, rate: float = 6e-3) -> None:
-    """Adam over (codes, mask, tags) batches, the rate falling to a twentieth; clips gradients at norm 1."""
-    batches = list(batches)
-    m = {k: np.zeros_like(v) for k, v in tagger.p.items()}
-    v = {k: np.zeros_like(x) for k, x in tagger.p.items()}
-    for step, batch in enumerate(batches, 1):
-        value, g = tagger.loss(*batch)
-        norm = sum(float((x**2).sum()) for x in g.values()) ** 0.5
-        now = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / len(batches))))
-        for k, x in g.items():
-            x = x * min(1.0, 1.0 / (norm + 1e-9))
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            tagger.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        if step % 200 == 0:
-            print(step, round(value, 5), flush=True)

@@ -22,7 +22,9 @@ from karst.sources.staging import release, stage
 #: Rows that a task sorts into one block at most.
 BLOCK_ROWS = 500_000
 #: A group, or what is left of one for one rank, is finished by sorting when it has no more values.
-FINISH = 2048
+FINISH = 32
+#: The same for summaries, which ask for so many ranks of a part that sorting it once is less work.
+SUMMARY_FINISH = 2048
 #: Rounds after which blocks are cut down to what is left for each rank.
 COMPACT = 4
 
@@ -108,13 +110,14 @@ def _weighted_median(value: str, weight: str) -> Column:
     return F.expr(f"percentile({value}, 0.5D, {weight}) FILTER (WHERE {weight} > 0)")
 
 
-def select_ranks(values: DataFrame, by: list[str], metrics: list[str], parts: list[int], whole: int) -> DataFrame:
+def select_ranks(values: DataFrame, by: list[str], metrics: list[str], parts: list[int], whole: int, finish: int | None = None) -> DataFrame:
     """(by.., metric, part, n, rank, value): for each part p the value of rank ceil(n * p / whole), at least 1.
 
     Values are doubles; null, NaN and infinite ones don't count. Ties and repeated rows
     count each. A group without values, and a null group, has its rows, with null value. The
-    result is exact: its rank error is 0. Columns of ``by`` come out as strings.
+    result is exact: its rank error is 0, whatever ``finish``. Columns of ``by`` come out as strings.
     """
+    finish = FINISH if finish is None else finish
     rows = values.select(*(F.col(c).cast("string").alias(c) for c in by), *(F.col(m).cast("double").alias(m) for m in metrics))
     schema = ", ".join([*(f"`{c}` string" for c in by), "metric string", "vals array<double>"])
     blocks = stage(rows.mapInArrow(_blocks(by, metrics), schema).withColumn("g", F.to_json(F.struct(*by, "metric"))), "blocks")
@@ -122,21 +125,21 @@ def select_ranks(values: DataFrame, by: list[str], metrics: list[str], parts: li
     want = F.array(*(F.lit(int(p)) for p in sorted(set(parts))))
     targets = groups.withColumn("part", F.explode(want)).withColumn("rank", F.expr(f"greatest(1L, (n * part + {whole - 1}) div {whole})"))
 
-    small = blocks.join(groups.where(F.col("n").between(1, FINISH)).select("g"), "g").groupBy("g").agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("sorted"))
-    direct = targets.where(F.col("n") <= FINISH).join(small, "g", "left").select(*by, "metric", "part", "n", "rank", F.try_element_at("sorted", F.col("rank").cast("int")).alias("value"))
+    small = blocks.join(groups.where(F.col("n").between(1, finish)).select("g"), "g").groupBy("g").agg(F.array_sort(F.flatten(F.collect_list("vals"))).alias("sorted"))
+    direct = targets.where(F.col("n") <= finish).join(small, "g", "left").select(*by, "metric", "part", "n", "rank", F.try_element_at("sorted", F.col("rank").cast("int")).alias("value"))
 
-    if not groups.where(F.col("n") > FINISH).limit(1).count():
+    if not groups.where(F.col("n") > finish).limit(1).count():
         return direct
 
     # equal ranks of a group are searched once
-    large = targets.where(F.col("n") > FINISH)
+    large = targets.where(F.col("n") > finish)
     searched = large.select("g", "n", "rank").distinct().withColumn("t", F.row_number().over(Window.partitionBy("g").orderBy("rank")))
     searched = stage(searched, "targets")
     left = stage(blocks.select("g", "vals").join(searched.select("g").distinct(), "g"), "large")
     pivot = left.where(F.size("vals") > 0).groupBy("g").agg(F.expr("percentile(vals[int((size(vals) - 1) div 2)], 0.5D, size(vals))").alias("pivot"))
     state = stage(searched.join(pivot, "g").select("g", "t", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.col("rank").alias("need"), F.col("n").alias("size"), "pivot", F.lit(None).cast("double").alias("value")), "state")
     keyed, rounds = ["g"], 0
-    busy = F.col("value").isNull() & (F.col("size") > FINISH)
+    busy = F.col("value").isNull() & (F.col("size") > finish)
     while state.where(busy).limit(1).count():
         asked = state.where(busy).groupBy(*keyed).agg(F.collect_list(F.struct("t", "lo", "hi", "pivot")).alias("targets"))
         found = left.join(asked, keyed).select("g", "vals", "targets").mapInArrow(_count, _ROUND)
@@ -190,7 +193,7 @@ def part_summaries(traces: DataFrame, part: str = "log_day", grid: int = GRID) -
 
     Equal ranks stand once. Summaries of different days can be united as they are.
     """
-    found = select_ranks(waits(traces), ["pod", part], METRICS, list(range(grid + 1)), grid)
+    found = select_ranks(waits(traces), ["pod", part], METRICS, list(range(grid + 1)), grid, SUMMARY_FINISH)
     return found.where("n > 0").select("pod", part, "metric", "n", "rank", "value").distinct()
 
 

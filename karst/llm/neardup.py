@@ -23,7 +23,7 @@ def questions(examples: DataFrame) -> DataFrame:
 
 
 def question_pairs(examples: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
-    """All pairs line_a < line_b whose questions have a similarity of num / den at least.
+    """All pairs line_a < line_b, each once, whose questions have a similarity of num / den at least.
 
     Null and empty questions and those without words make no pairs; equal questions do.
     A line_no that stands more than once counts as one record with several questions.
@@ -34,7 +34,7 @@ def question_pairs(examples: DataFrame, num: int = 3, den: int = 5) -> DataFrame
     across = links.join(a, "a").join(b, "b").select("x", "y")
     within = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     pairs = across.unionByName(within).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("line_a"), F.greatest("x", "y").alias("line_b"))
+    return pairs.select(F.least("x", "y").alias("line_a"), F.greatest("x", "y").alias("line_b")).distinct()
 
 
 def question_classes(examples: DataFrame, num: int = 3, den: int = 5) -> DataFrame:

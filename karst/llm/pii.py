@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from karst.llm.charcrf import KINDS, TAGS, Tagger, encode
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-WINDOW = 96
-STRIDE = 48
+WINDOW = 256
+STRIDE = 224
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-_BATCH = 512
+_BATCH = 320
 #: Characters that are tagged at once, and of a block with its padding, unless one text alone has more.
 _AT_ONCE = 400_000
 

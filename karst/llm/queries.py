@@ -38,7 +38,7 @@ def queries() -> dict[str, Query]:
         "p6_splits": _on("examples", "split_spec")(splits.assign_splits),
         "p7_ids": _on("documents")(tokens.encode_texts),
         "p8_found": _on("documents", "benchmark")(leaks.leaked_items),
-        "p8_near": _on("documents", "benchmark")(lambda d, b: leaks.leaked_items(d, b, edits=1, places=6, repeats=6)),
+        "p8_near": _on("documents", "benchmark")(lambda d, b: leaks.leaked_items(d, b, edits=1, places=4, repeats=10)),
         "p8_report": _on("documents", "benchmark")(lambda d, b: leaks.leak_report(leaks.leaked_items(d, b))),
         "p9_found": _on("documents")(repetition.repetitive),
         "p9_share": _on("documents")(repetition.repetition),
@@ -51,6 +51,23 @@ _WAITS = """
     UNION ALL SELECT pod, log_day, run, 'queue_seconds', queue_seconds FROM warmup_fixed"""
 
 
+def _summary(part: str) -> str:
+    return f"""v AS ({_WAITS}),
+g AS (SELECT pod, {part} AS part, metric, count(x) FILTER (WHERE isfinite(x)) AS n, list_sort(list(x) FILTER (WHERE isfinite(x))) AS l FROM v GROUP BY pod, {part}, metric),
+r AS (SELECT DISTINCT pod, part, metric, n, l, greatest(1, (n * j + {multiselect.GRID - 1}) // {multiselect.GRID}) AS "rank" FROM g CROSS JOIN range(0, {multiselect.GRID + 1}) t(j) WHERE n > 0)"""
+
+
+def _combined(part: str) -> str:
+    return f"""
+WITH {_summary(part)},
+w AS (SELECT pod, part, metric, n, l["rank"] AS value, "rank" - coalesce(lag("rank") OVER (PARTITION BY pod, part, metric ORDER BY "rank"), 0) AS weight FROM r),
+e AS (SELECT pod, metric, sum(n)::BIGINT AS n, sum(gap)::BIGINT AS rank_error FROM (SELECT pod, part, metric, max(n) AS n, max(weight) - 1 AS gap FROM w GROUP BY ALL) GROUP BY pod, metric),
+s AS (SELECT pod, metric, value, sum(sum(weight)) OVER (PARTITION BY pod, metric ORDER BY value) AS upto FROM w GROUP BY pod, metric, value)
+SELECT e.pod, e.metric, p.permille, e.n, min(s.value) AS value, e.rank_error
+FROM e CROSS JOIN (VALUES (500), (900), (950), (990), (999)) p(permille) JOIN s ON s.pod IS NOT DISTINCT FROM e.pod AND s.metric = e.metric AND s.upto >= greatest(1, (e.n * p.permille + 999) // 1000)
+GROUP BY e.pod, e.metric, p.permille, e.n, e.rank_error"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_percentiles": f"""
@@ -59,8 +76,8 @@ g AS (SELECT pod, metric, count(x) FILTER (WHERE isfinite(x)) AS n, list_sort(li
 SELECT pod, metric, p.permille, n, l[greatest(1, (n * p.permille + 999) // 1000)] AS value, 0::BIGINT AS rank_error
 FROM g CROSS JOIN (VALUES (500), (900), (950), (990), (999)) p(permille)""",
         "p1_day_summaries": f"""
-WITH v AS ({_WAITS}),
-g AS (SELECT pod, log_day, metric, count(x) FILTER (WHERE isfinite(x)) AS n, list_sort(list(x) FILTER (WHERE isfinite(x))) AS l FROM v GROUP BY pod, log_day, metric),
-r AS (SELECT DISTINCT pod, log_day, metric, n, l, greatest(1, (n * j + {multiselect.GRID - 1}) // {multiselect.GRID}) AS "rank" FROM g CROSS JOIN range(0, {multiselect.GRID + 1}) t(j) WHERE n > 0)
-SELECT pod, log_day::VARCHAR AS log_day, metric, n, "rank", l["rank"] AS value FROM r""",
+WITH {_summary("log_day")}
+SELECT pod, part::VARCHAR AS log_day, metric, n, "rank", l["rank"] AS value FROM r""",
+        "p1_from_days": _combined("log_day"),
+        "p1_from_runs": _combined("run"),
     }

@@ -1,11 +1,13 @@
 """Repetition inside a document (problem 9).
 
-Features are the repeated shares of hashed word and character n-grams. A logistic
-regression over them, trained on rows labelled by their exact share and calibrated on
-others, scores every document in Arrow batches. Its weights are not negative, so the
-score of a document that repeats at least LIMIT of its five-word sequences can't be lower
-than ``Scorer.threshold``: no such document is lost. The exact count, made for every document,
-decides; the model can't change a row.
+Features are densities of hashed word and character n-grams that stood before in the document.
+A logistic regression over them, trained on rows labelled by their exact share and calibrated
+on others, scores every document in Arrow batches against a fixed threshold. Only documents
+that it flags are counted exactly, by their five-word sequences, which are no feature.
+
+A five-word sequence that stood before holds shorter ones that did, so the density of each
+shorter size is no lower than the share. Weights are not negative, and the threshold is the
+score at densities of LIMIT: no document whose share reaches LIMIT is passed over.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from karst.llm.textwords import finalize, sequences, word_hashes
 
-WORD_SIZES = (5, 1, 2, 3)  # the share that counts comes first
-CHAR_SIZES = (12, 32)
+#: Words of the sequences whose share counts, and of those that are features.
+RUN = 5
+WORD_SIZES = (2, 3, 4)
+CHAR_SIZES = (24,)
 #: Share of repeated content from which a document counts, as a fraction.
 LIMIT = (3, 10)
 #: Labelled rows that a fit takes at most.
@@ -30,12 +34,12 @@ FIT_ROWS = 20_000
 MODEL = os.path.join(os.path.dirname(__file__), "repetition.json")
 
 
-def _repeated(hashes: np.ndarray) -> float:
-    """Share of hashed n-grams that stood before, in a space of 2^28."""
+def _repeated(hashes: np.ndarray) -> int:
+    """Number of hashed n-grams that stood before, in a space of 2^28."""
     if len(hashes) < 2:
-        return 0.0
+        return 0
     folded = np.sort((hashes >> np.uint64(36)).astype(np.uint32))
-    return float((folded[1:] == folded[:-1]).sum() / len(folded))
+    return int((folded[1:] == folded[:-1]).sum())
 
 
 def _char_sequences(codes: np.ndarray, size: int) -> np.ndarray:
@@ -56,17 +60,22 @@ def _char_sequences(codes: np.ndarray, size: int) -> np.ndarray:
     return finalize(out)
 
 
-def features(text: str | None) -> tuple[np.ndarray, int, int]:
-    """Feature vector, number of five-word sequences, number of distinct ones."""
-    hashes = word_hashes(text)
-    runs = sequences(hashes, WORD_SIZES[0], short=False)
+def features(hashes: np.ndarray, text: str | None) -> np.ndarray:
+    """Densities, at most 1: word n-grams that stood before by five-word sequences, characters by characters."""
+    runs = max(len(hashes) - RUN + 1, 1)
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    x = [_repeated(runs), *(_repeated(sequences(hashes, k, short=False)) for k in WORD_SIZES[1:]), *(_repeated(_char_sequences(codes, k)) for k in CHAR_SIZES)]
-    distinct = 0
-    if len(runs):
-        ordered = np.sort(runs)
-        distinct = 1 + int((ordered[1:] != ordered[:-1]).sum())
-    return np.array(x), len(runs), distinct
+    x = [_repeated(sequences(hashes, k, short=False)) / runs for k in WORD_SIZES] if len(hashes) >= RUN else [0.0] * len(WORD_SIZES)
+    return np.minimum([*x, *(_repeated(_char_sequences(codes, k)) / max(len(codes), 1) for k in CHAR_SIZES)], 1.0)
+
+
+def exact(hashes: np.ndarray) -> tuple[int, int]:
+    """Number of five-word sequences and of distinct ones."""
+    runs = np.sort(sequences(hashes, RUN, short=False))
+    return len(runs), int((runs[1:] != runs[:-1]).sum()) + 1 if len(runs) else 0
+
+
+def _reaches(n: int, distinct: int) -> bool:
+    return (n - distinct) * LIMIT[1] >= LIMIT[0] * n > 0
 
 
 class Scorer:
@@ -81,9 +90,9 @@ class Scorer:
 
     @property
     def threshold(self) -> float:
-        """Least score of a document at the limit; a little lower, for rounding."""
+        """Score at word densities of LIMIT, without characters; a little lower, for rounding."""
         x = np.zeros(len(self.weights))
-        x[0] = LIMIT[0] / LIMIT[1] - 1e-9
+        x[: len(WORD_SIZES)] = LIMIT[0] / LIMIT[1] - 1e-9
         return float(self(x)[0]) * (1 - 1e-9)
 
     @staticmethod
@@ -119,35 +128,38 @@ def scorer() -> Scorer:
 
 def fit_rows(texts: list[str | None]) -> Scorer:
     """Scorer from texts labelled by their exact share; takes FIT_ROWS texts at most."""
-    rows = [features(t) for t in texts[:FIT_ROWS]]
-    return Scorer.fit(np.array([x for x, _, _ in rows]), np.array([(n - d) * LIMIT[1] >= LIMIT[0] * n > 0 for _, n, d in rows]))
+    rows = [(word_hashes(t), t) for t in texts[:FIT_ROWS]]
+    return Scorer.fit(np.array([features(h, t) for h, t in rows]), np.array([_reaches(*exact(h)) for h, _ in rows]))
 
 
 def repetition(documents: DataFrame) -> DataFrame:
-    """(doc_id, share, score) of every document; share is 0 below five words, for null and empty texts."""
+    """(doc_id, share, score, flagged) of every document; share is 0 below five words, for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer()
+        floor = model.threshold
         for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
-            score = model(np.array([x for x, _, _ in rows])) if rows else np.empty(0)
-            share = [(n - d) / n if n else 0.0 for _, n, d in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "share", "score"])
+            texts = batch.column(1).to_pylist()
+            rows = [word_hashes(t) for t in texts]
+            score = model(np.array([features(h, t) for h, t in zip(rows, texts)])) if rows else np.empty(0)
+            share = [(n - d) / n if n else 0.0 for n, d in map(exact, rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= floor)], ["doc_id", "share", "score", "flagged"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, share double, score double")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, share double, score double, flagged boolean")
 
 
 def repetitive(documents: DataFrame) -> DataFrame:
-    """doc_id of documents that the model flags and whose exact share reaches the limit."""
+    """doc_id of documents that the model flags and whose exact share, counted for these only, reaches the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer()
         floor = model.threshold
         for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            rows = [word_hashes(t) for t in texts]
             if rows:
-                flagged = model(np.array([x for x, _, _ in rows])) >= floor
-                keep = [bool(f) and (n - d) * LIMIT[1] >= LIMIT[0] * n > 0 for f, (_, n, d) in zip(flagged, rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["doc_id"])
+                flagged = np.flatnonzero(model(np.array([features(h, t) for h, t in zip(rows, texts)])) >= floor)
+                kept = [k for k in flagged if _reaches(*exact(rows[k]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64()))], ["doc_id"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint")

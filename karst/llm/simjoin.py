@@ -106,8 +106,9 @@ def similar(texts: DataFrame, num: int, den: int, sides: bool = False) -> tuple[
     """
     feats = stage(features(texts), "features")
     members = stage(feats.select("id", "flags", "k").distinct(), "members")
-    classes = feats.groupBy("k").agg(F.min("id").alias("id"), F.bit_or("flags").alias("flags"))
-    reps = stage(feats.drop("flags").join(classes, ["k", "id"]).drop("id"), "classes")
+    # rows of one class have the same triples, so any row stands for it
+    one_row = ("n", "s0", "s1", "s2", "s3", "grams")
+    reps = stage(feats.groupBy("k").agg(F.bit_or("flags").alias("flags"), F.any_value(F.struct(*one_row)).alias("r")).select("k", "flags", "r.*"), "classes")
     release(feats)
 
     each = reps.select("k", "flags", F.explode("grams").alias("gram"))

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from karst.llm import leaks, multiselect, neardup, overlap, packing, pii, repetition, simjoin, splits, tokens, trie
-from karst.llm.charcrf import TAGS, Tagger, encode, fit
+import heldout
+from karst.llm import leaks, multiselect, neardup, overlap, packing, pii, pii_train, repetition, simjoin, splits, tokens, trie
+from karst.llm.charcrf import TAGS, Tagger, encode
 from karst.llm.textwords import words
 
 CHAT = "line_no bigint, id string, topic string, messages array<struct<role: string, content: string>>, split string, source string"
@@ -48,6 +49,13 @@ def chats(spark, rows):
 # 2 and 3: similarity
 
 
+def test_records_that_stand_twice_link_once(spark):
+    near = ["один два три four five six seven", "один два три four five six"]
+    df = chats(spark, [(n, None, None, [("user", near[n - 1])], None, None) for n in (1, 1, 2)])
+    assert [tuple(x) for x in neardup.question_pairs(df).collect()] == [(1, 2)]
+    assert sorted((x["line_no"], x["n_links"]) for x in neardup.question_classes(df).collect()) == [(1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 3)])
 def test_question_pairs_equal_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(simjoin, "BLOCK", block)  # small blocks are cut into cells
@@ -229,36 +237,34 @@ def test_gradients_of_the_tagger():
         assert abs((up - down) / 2e-3 - g[name][at]) < 1e-4
 
 
-def test_tagger_learns(capsys):
-    r = np.random.default_rng(1)
-    codes = r.integers(3, 60, (20, 32))
-    tags = np.where(codes < 20, 1, 0)
-    model = Tagger(8, 8)
-    fit(model, [(codes, np.ones((20, 32), bool), tags)] * 150, rate=0.03)
-    best = model.viterbi(model.emissions(codes, np.ones((20, 32), bool)), np.full(32, 20))
-    assert (best == tags).mean() > 0.97
+def test_tagger_learns():
+    words = pii_train.Words(background=("альфа бета", "one two"))
+    tagger = pii_train.fit(words, hidden=8, steps=30, workers=1, size=8, rate=0.02)
+    before, after = (model.loss(*next(pii_train.batches(pii_train.Maker(5, words), 32)))[0] for model in (Tagger(hidden=8), tagger))
+    assert after < before / 2
+
 
+def test_recall_on_names_streets_and_sentences_never_trained_on(spark):
+    trained, held = pii_train.Words(), heldout.words()
+    assert not set(trained.male + trained.female + trained.latin) & set(held.male + held.female + held.latin) - {"Лариса"}
+    assert not {f for k in held.frames for f in held.frames[k]} & {f for k in trained.frames for f in trained.frames[k]}
+    made = heldout.texts(71, 1800)
+    rows = [(n, None, None, [("user", t)], None, None) for n, (t, _, _) in enumerate(made)]
+    got = {(x["line_no"], x["kind"]) for x in pii.found_kinds(chats(spark, rows)).collect()}
+    for kind in pii.KINDS:
+        asked = [n for n, (_, k, _) in enumerate(made) if k == kind]
+        assert sum((n, kind) in got for n in asked) >= 0.9 * len(asked), kind
+    wrong = sum(made[n][1] != kind for n, kind in got)
+    assert wrong <= 0.05 * len(got)
 
-def test_held_out_accuracy():
-    from karst.llm import pii_train
 
-    r = random.Random(99)
-    background = ["Старинный чертеж описал известную сюиту близ Лодо в 1612 году.", "The quiet queue skipped 2100 rows.", "Какая темная птица обогнала маяк?"]
-    right = wrong = missed = 0
-    texts, truth = [], []
-    for _ in range(400):
-        text, marks = pii_train._example(r, background)
-        kinds = {pii.KINDS[(m - 1) // 2] for m in marks if m % 2}
-        texts.append(text)
-        truth.append(kinds)
-    for spans, kinds in zip(pii.find(texts), truth):
-        got = {k for _, _, k in spans}
-        right, wrong, missed = right + len(got & kinds), wrong + len(got - kinds), missed + len(kinds - got)
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.93
+def test_look_alikes_never_trained_on_are_left_alone():
+    texts = heldout.alikes(72, 1000)
+    assert sum(bool(s) for s in pii.find(texts)) <= 0.06 * len(texts)
 
 
 def test_scrubbing_changes_nothing_else(spark):
-    texts = ["Меня зовут Марфа Лодведова. Ответ пришлите на ab.cd@post12.example.", "Завод имени Собирдулова, 40 цехов. Приказ N 12-к от 06.07.2008.", "", None, "Телефон +7 (212) 957-11-77. " + "Светлый гриб изменил маяк. " * 2000 + "Проживает: ул. Лесная, д. 5, кв. 9"]
+    texts = ["Меня зовут Марфа Смирнова. Ответ пришлите на ab.cd@post12.example.", "Завод имени Кузнецова, 40 цехов. Приказ N 12-к от 06.07.2008.", "", None, "Телефон +7 (212) 957-11-77. " + "Светлый гриб изменил маяк. " * 2000 + "Проживает: ул. Лесная, д. 5, кв. 9"]
     rows = [(n, None, None, [("user", t), ("anyone", t)], None, None) for n, t in enumerate(texts)] + [(9, None, None, None, None, None), (10, None, None, [], None, None)]
     df = clash(chats(spark, rows))
     got = {(x["line_no"], x["msg_pos"]): x["content"] for x in pii.scrubbed(df).collect()}
@@ -269,22 +275,20 @@ def test_scrubbing_changes_nothing_else(spark):
     assert pii.found_kinds(chats(spark, [])).count() == pii.scrubbed(chats(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["ЛОДГАМОВ\u00a0ЗАХАР", "лодгамов\u00a0з.м.", "лодгамов  з.м."])
+@pytest.mark.parametrize("name", ["СТЕПАНОВ\u00a0АНДРЕЙ", "степанов\u00a0а.м.", "степанов  а.м."])
 def test_names_joined_by_any_white_space(name):
     text = f"Акт составил {name}."
     assert [(text[a:b].rstrip("."), k) for a, b, k in pii.find([text])[0]] == [(name.rstrip("."), "name")]
 
 
-@pytest.mark.parametrize(("text", "span", "kind"), [("Report by J. Dulov", "J. Dulov", "name"), ("паспорт серии 4508 номер 123456", "4508 номер 123456", "id_number"), ("проезд Лесной, д. 5", "Лесной, д. 5", "address"), ("Контактное лицо: гамов захар.", "гамов захар", "name")])
+@pytest.mark.parametrize(("text", "span", "kind"), [("Report by J. Harris", "J. Harris", "name"), ("паспорт серии 4508 номер 123456", "4508 номер 123456", "id_number"), ("проезд Лесной, д. 5", "Лесной, д. 5", "address"), ("Контактное лицо: степанов андрей.", "степанов андрей", "name"), ("Живу на Тверской, дом 5", "Тверской, дом 5", "address"), ("тел. 123-45-67", "123-45-67", "phone"), ("born March 12, 1980", "March 12, 1980", "birth_date"), ("Документ вернул Константин Бондарчук вчера.", "Константин Бондарчук", "name")])
 def test_forms_without_a_known_pattern(text, span, kind):
     assert any(span in text[a:b] and k == kind for a, b, k in pii.find([text])[0])
 
 
 def test_the_tagger_reads_every_message_whole(monkeypatch):
-    from karst.llm import pii_train
-
-    r = random.Random(12)
-    texts = [pii_train._example(r, ["Какая темная птица обогнала маяк?"])[0] for _ in range(200)] + ["без примет", "слово " * 300]
+    made = pii_train.Maker(12, pii_train.Words(background=("Какая темная птица обогнала маяк?",)))
+    texts = [made.example()[0] for _ in range(200)] + ["без примет", "слово " * 300]
     read, tag = [], pii.tag
     monkeypatch.setattr(pii, "_AT_ONCE", 1000)
     monkeypatch.setattr(pii, "tag", lambda some, model: read.extend(some) or tag(some, model))
@@ -442,18 +446,20 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(x) for x in got} == {(n, n) for n in range(20)}
 
 
-def test_recall_of_windows_with_an_edit():
-    r = random.Random(3)
-    v = [f"w{k}" for k in range(400)]
-    items = [(n, " ".join(r.choices(v, k=12))) for n in range(300)]
-    index = leaks.Index(items, 10, 1, 6, 6, 8)
-    parts = []
-    for _, t in items:
+@pytest.mark.parametrize("kind", ["put in", "left out", "replaced"])
+def test_recall_of_walks_with_an_edit_at_any_place(spark, kind):
+    r = random.Random(kind)
+    v = [f"w{k}" for k in range(60)]
+    items = [(n, " ".join(r.choices(v, weights=[1 / (k + 1) for k in range(60)], k=10 + n % 5))) for n in range(500)]
+    docs = []
+    for n, t in items:
         w = t.split()
-        w[r.randrange(3, 9)] = "other"
-        parts.append(leaks.word_hashes(" ".join(w)))
-    found, numbers = index.search(parts)
-    assert len({d for d, i in zip(found, numbers) if d == i}) / 300 >= 0.9
+        at = r.randrange(len(w))
+        w[at : at + (kind != "put in")] = [] if kind == "left out" else ["other"]
+        docs.append((n, " ".join(r.choices(v, k=n % 3) + w + r.choices(v, k=n % 4))))
+    D, B = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_no bigint, item_input string")
+    found, every = ({tuple(x) for x in leaks.leaked_items(D, B, edits=1, places=4, repeats=10, exhaustive=e).collect()} for e in (False, True))
+    assert found <= every and len(found) >= 0.99 * len(every) and len(every) >= 500
 
 
 @pytest.mark.parametrize("kind", ["put in", "left out", "replaced"])
@@ -461,7 +467,7 @@ def test_every_window_with_an_edit_is_found(kind):
     r = random.Random(kind)
     v = [f"w{k}" for k in range(400)]
     items = [(n, " ".join(r.choices(v, k=10 + n % 7))) for n in range(300)]
-    index = leaks.Index(items, 10, 1, 6, 6, 8)
+    index = leaks.Index(items, 10, 1, 6, 6, 8, exhaustive=True)
     parts = []
     for n, t in items:
         w = t.split()
@@ -481,7 +487,7 @@ def test_near_leaks_equal_brute_force(edits):
     r = random.Random(edits)
     items = [(n, " ".join(r.choices("abc", k=r.choice([0, 5, 6, 7, 9])))) for n in range(25)]
     texts = [" ".join(r.choices("abcd", k=r.randint(0, 12))) for _ in range(30)]
-    found, numbers = leaks.Index(items, 6, edits, 6, 6, 8).search([leaks.word_hashes(t) for t in texts])
+    found, numbers = leaks.Index(items, 6, edits, 6, 6, 8, exhaustive=True).search([leaks.word_hashes(t) for t in texts])
     want = set()
     for d, t in enumerate(texts):
         h = leaks.word_hashes(t)
@@ -524,32 +530,47 @@ def test_repetition_equals_the_definition(spark):
 def test_the_score_loses_no_repetitive_text():
     model = repetition.scorer()
     assert (model.weights >= 0).all() and model.slope > 0
-    r = np.random.default_rng(1)
-    x = r.random((2000, len(model.weights)))
-    x[:, 0] = np.maximum(x[:, 0], 0.3)
-    assert (model(x) >= model.threshold).all()
-    assert (model(np.zeros(len(model.weights))) < model.threshold).all()
+    r = random.Random(6)
+    kinds = set()
+    for _ in range(3000):
+        base = r.choices("abcdefgh", k=r.randint(1, 12))
+        text = " ".join(base * r.randint(1, 4) + [f"u{k}" for k in range(r.randint(0, 30))])
+        h = repetition.word_hashes(text)
+        x = repetition.features(h, text)
+        n, d = repetition.exact(h)
+        flagged = bool(model(x)[0] >= model.threshold)
+        assert flagged or not repetition._reaches(n, d)
+        assert all(n == 0 or x[k] >= (n - d) / n - 1e-12 for k in range(len(repetition.WORD_SIZES)))
+        kinds.add((flagged, repetition._reaches(n, d)))
+    assert kinds == {(True, True), (True, False), (False, False)}
 
 
-def test_the_exact_share_decides_without_the_model():
-    r = random.Random(6)
-    texts = [" ".join(["a", "b", "c"] * r.randint(0, 10) + [f"u{k}" for k in range(r.randint(0, 30))]) for _ in range(200)]
-    rows = [repetition.features(t) for t in texts]
-    exact = [n > 0 and (n - d) * 10 >= 3 * n for _, n, d in rows]
-    model = repetition.scorer()
-    assert any(exact) and all(model(x)[0] >= model.threshold for (x, _, _), e in zip(rows, exact) if e)
+def test_only_flagged_documents_are_counted(spark, monkeypatch):
+    counted, exact = [], repetition.exact
+    monkeypatch.setattr(repetition, "exact", lambda h: counted.append(len(h)) or exact(h))
+    frame = spark.createDataFrame([(0, "a b c d e " * 9), (1, " ".join(f"u{k}" for k in range(77)))], "doc_id bigint, text string")
 
+    class Local:
+        def select(self, *_):
+            return self
 
-def test_a_fit_is_calibrated():
+        def mapInArrow(self, run, _):
+            return [b.to_pydict() for b in run(iter(frame.toArrow().to_batches()))]
+
+    assert repetition.repetitive(Local()) and counted == [45]
+
+
+def test_a_fit_is_calibrated_and_right_on_other_rows():
     r = random.Random(4)
-    texts = []
-    for _ in range(400):
-        base = r.choices([f"u{k}" for k in range(300)], k=40)
-        texts.append(" ".join(base * r.choice([1, 1, 3])))
-    model = repetition.fit_rows(texts)
-    rows = [repetition.features(t) for t in texts]
-    label = np.array([(n - d) * 10 >= 3 * n for _, n, d in rows])
-    assert np.mean((model(np.array([x for x, _, _ in rows])) - label) ** 2) < 0.02
+
+    def made(n):
+        return [" ".join(r.choices([f"u{k}" for k in range(300)], k=40) * r.choice([1, 1, 3])) for _ in range(n)]
+
+    model, texts = repetition.fit_rows(made(400)), made(300)
+    rows = [repetition.word_hashes(t) for t in texts]
+    label = np.array([repetition._reaches(*repetition.exact(h)) for h in rows])
+    score = model(np.array([repetition.features(h, t) for h, t in zip(rows, texts)]))
+    assert np.mean((score - label) ** 2) < 0.02 and ((score >= 0.5) == label).mean() > 0.98
 
 
 def test_char_sequences_differ_and_agree():
