@@ -39,14 +39,14 @@ def percentile_floor(df: DataFrame, by: list[str], value: str, ps: dict[str, flo
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, p10, p50, p90, their ratio, coefficient of variation, least and most."""
     quantiles = percentile_floor(df, by, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    rest = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.round(F.try_divide(F.stddev_pop(value), F.avg(value)), 3).alias("cv"), F.min(value).alias("least"), F.max(value).alias("most"))
+    rest = df.where(F.col(value).isNotNull()).groupBy(*by).agg(half_even(F.try_divide(F.stddev_pop(value), F.avg(value)), 3).alias("cv"), F.min(value).alias("least"), F.max(value).alias("most"))
     if by:
         q = quantiles.withColumnsRenamed({c: f"_{c}" for c in by})
         on = [rest[c].eqNullSafe(q[f"_{c}"]) for c in by]
         joined = rest.join(q, on).drop(*(f"_{c}" for c in by))
     else:
         joined = rest.crossJoin(quantiles)  # one row each
-    return joined.withColumn("ratio", F.round(F.col("p90") / F.greatest("p10", F.lit(1)), 2))
+    return joined.withColumn("ratio", half_even(F.col("p90") / F.greatest("p10", F.lit(1)), 2))
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -55,7 +55,19 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """value rounded to digits, halves to even, by its exact binary value: the error of value * 10^digits, found by splitting both factors, decides near a half."""
+    x, scale = value.cast("double"), F.lit(float(10**digits))
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)  # 2^27 + 1
+        return high, v - high
+
+    product = x * scale
+    (a, b), (c, d) = halves(x), halves(scale)
+    error = b * d - (product - a * c - b * c - a * d)
+    low = F.floor(product).cast("double")
+    near = F.when(product - low != 0.5, F.rint(product)).when(error > 0, low + 1).when(error < 0, low).otherwise(F.rint(product))
+    return F.when(F.abs(product) < 4e15, near / scale).otherwise(x)
 
 
 def _ranks(kind: str, p: float, n: Column) -> tuple[Column, Column]:

@@ -115,3 +115,16 @@ def number(value: Column, digits: int) -> Column:
 
 def percent(share: Column, digits: int = 1) -> Column:
     return F.concat(number(share * 100, digits), F.lit(" %"))
+
+
+_FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).casefold() != chr(c).lower()}
+
+
+def casefold(text: Column) -> Column:
+    """Lower case with the other foldings of Unicode (ß to ss, final sigma to sigma); characters that become several are looked up only where one stands."""
+    one = {a: b for a, b in _FOLDED.items() if len(b) == 1}
+    many = {a: b for a, b in _FOLDED.items() if len(b) > 1}
+    folded = lambda t: F.translate(F.lower(F.translate(t, "".join(one), "".join(one.values()))), "ς", "σ")  # lower case gives final sigmas
+    table = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    slow = folded(F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""))
+    return F.when(text.rlike("[" + "".join(many) + "]"), slow).otherwise(folded(text))

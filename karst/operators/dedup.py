@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import text
-from karst.sources.staging import stage
+from karst.sources.staging import release, stage
 
 
 def _keyed(df: DataFrame, key: Column) -> DataFrame:
@@ -33,7 +33,9 @@ def shingled(df: DataFrame, ident: str, source: Column, size: int) -> DataFrame:
     """
     tokens = stage(df.select(ident, text.words(source).alias("_w")).where("_w is not null"), "words")
     sets = tokens.select(ident, F.array_distinct(F.transform(text.ngrams(F.col("_w"), size), lambda s: F.xxhash64(s))).alias("shingles"))
-    return stage(sets.select(ident, F.size("shingles").alias("n"), "shingles"), "shingles")
+    out = stage(sets.select(ident, F.size("shingles").alias("n"), "shingles"), "shingles")
+    release(tokens)
+    return out
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float, ordered: bool) -> DataFrame:
@@ -76,12 +78,44 @@ def greedy_drops(pairs: DataFrame) -> DataFrame:
         dropped = out if dropped is None else dropped.unionAll(out)
         gone = out.withColumnRenamed("id", "g")
         rest = left.join(gone, F.col("b") == F.col("g"), "left_anti").join(gone, F.col("a") == F.col("g"), "left_anti")
-        left = stage(rest.join(free.withColumnRenamed("a", "f"), F.col("a") == F.col("f"), "left_anti"), "pairs")
+        step = stage(rest.join(free.withColumnRenamed("a", "f"), F.col("a") == F.col("f"), "left_anti"), "pairs")
+        release(left)
+        left = step
     return dropped if dropped is not None else pairs.select(F.col("b").alias("id")).limit(0)
 
 
-def minhash(shingles: DataFrame, ident: str, seeds: int) -> DataFrame:
-    """(ident, seed, value): smallest hash of the shingles for each seed; rows without shingles are left out."""
-    least = lambda s: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(s))))
-    each = F.array(*(F.struct(F.lit(s).alias("seed"), least(s).alias("value")) for s in range(seeds)))
-    return shingles.where("n > 0").select(ident, F.explode(each).alias("x")).select(ident, "x.*")
+#: Fixed values of the permutations (a x + b) mod 2^31 - 1 of 31-bit hashes: a and b follow from the number of the permutation.
+PRIME = 2**31 - 1
+
+
+def permutation(k: int) -> tuple[int, int]:
+    return 1 + (k * 1_103_515_245 + 12_345) % (PRIME - 1), (k * 69_069 + 1) % PRIME
+
+
+def minhash(shingles: DataFrame, ident: str, count: int = 128) -> DataFrame:
+    """(ident, signature): the smallest value of the shingles under each of ``count`` permutations; rows without shingles are left out.
+
+    shingles: (ident, shingles: array<string>). A shingle's hash is the first 31 bits of its MD5.
+    """
+    hashes = F.transform("shingles", lambda s: F.shiftright(F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint"), 1))
+    hashed = shingles.where(F.size("shingles") > 0).select(ident, hashes.alias("_h"))
+    least = lambda k: F.array_min(F.transform("_h", lambda x: (x * F.lit(permutation(k)[0]) + F.lit(permutation(k)[1])) % F.lit(PRIME)))
+    return hashed.select(ident, F.array(*(least(k) for k in range(count))).alias("signature"))
+
+
+def lsh_pairs(signatures: DataFrame, ident: str, bands: int) -> DataFrame:
+    """(a, b, estimate), a < b, of rows whose signatures agree in one of ``bands`` equal bands; estimate is the share of equal places.
+
+    Equal signatures are one until the end, so that copies meet once and not in every band.
+    """
+    classes = stage(signatures.groupBy("signature").agg(F.min(ident).alias("rep")), "signatures")
+    size = F.expr(f"int(size(signature) div {bands})")
+    banded = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.slice("signature", k * size + 1, size)))).alias("band", "key"))
+    one, two = (banded.withColumnRenamed("rep", x) for x in "ab")
+    near = one.join(two, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    sides = [classes.select(F.col("rep").alias(x), F.col("signature").alias(f"_{x}")) for x in "ab"]
+    scored = near.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda e: e)) / F.size("_a")).alias("estimate"))
+    held = signatures.join(classes, "signature").select(F.col(ident).alias("id"), "rep")
+    across = scored.join(held.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(held.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b").select("x", "y", "estimate")
+    copies = held.select(F.col("id").alias("x"), "rep").join(held.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("estimate"))
+    return across.unionByName(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "estimate")

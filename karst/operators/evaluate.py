@@ -121,3 +121,19 @@ def recomputed(stored: DataFrame, fresh: DataFrame, key: str, values: list[str],
 def different(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one bag that the other lacks, with side 'left' or 'right'; empty if both are equal."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionAll(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def split_overlap(rows: DataFrame, split: str, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(one, two, kind, n_keys, rows_one, rows_two, clean) for each pair of splits and each key column: keys that both hold, and their rows.
+
+    Null keys and rows of null split are in no overlap; a pair without one has a row of zeros. Keys are
+    counted by split first, so that a hot key is one row where splits meet.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys)))
+    counts = rows.select(F.col(split).alias("s"), each.alias("e")).where("e.key is not null").groupBy("e.kind", "e.key").pivot("s", sorted({s for p in pairs for s in p})).count()
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    entries = F.explode(F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), both(a, b).alias("hit"), F.col(a).alias("na"), F.col(b).alias("nb")) for a, b in pairs)))
+    found = counts.select("kind", entries.alias("e")).where("e.hit").groupBy("e.one", "e.two", "kind").agg(F.count("*").alias("n_keys"), F.sum("e.na").alias("rows_one"), F.sum("e.nb").alias("rows_two"))
+    wanted = rows.sparkSession.createDataFrame([(a, b, k) for a, b in pairs for k in keys], "one string, two string, kind string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return wanted.join(found, ["one", "two", "kind"], "left").select("one", "two", "kind", *(zero(c) for c in ("n_keys", "rows_one", "rows_two"))).withColumn("clean", F.col("n_keys") == 0)

@@ -53,16 +53,43 @@ def fragment_faults(traces: DataFrame) -> DataFrame:
     ]))
 
 
+def _slotted(rows: DataFrame, time: str, width: int) -> DataFrame:
+    """rows with _slot, each in the slot of its time and in the next one: a look back of ``width`` from any time of a slot stays inside it."""
+    slot = F.floor(F.col(time) / F.lit(width)).cast("bigint")
+    return rows.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+
+
 def rate(samples: DataFrame, by: list[str], time: str, value: str, window: int) -> DataFrame:
-    """samples with increase and rate of a counter over the last ``window`` seconds, resets counted from zero.
+    """samples with increase and rate of a counter over the ``window`` seconds up to each of them, the oldest second left out.
 
-    The differences inside the window are summed; nothing is extrapolated to its edges.
+    Only samples inside the window count, and a drop between two of them is a reset. The increase is
+    extrapolated to each edge of the window: all the way if the edge is nearer than 1.1 mean
+    distances of samples, else by half such a distance, to the old edge no further than where the
+    counter would be zero. A window of fewer than two samples gives no row. Series are cut into
+    slots of time, so that one with a third of all samples is many tasks.
     """
-    series = Window.partitionBy(*by).orderBy(time)
-    before = F.lag(value).over(series)
-    step = F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    series = Window.partitionBy(*by, "_slot").orderBy(time)
     inside = series.rangeBetween(-window + 1, 0)
-    return samples.withColumn("_step", step).withColumn("increase", F.sum("_step").over(inside)).withColumn("rate", F.col("increase") / window).drop("_step")
+    before = F.lag(value).over(series)
+    cut = _slotted(samples, time, window).withColumn("_drop", F.when(F.col(value) < before, before).otherwise(0.0))
+    seen = cut.withColumns({
+        "_n": F.count(value).over(inside), "_t": F.first(time).over(inside), "_v": F.first(value).over(inside), "_lost": F.sum("_drop").over(inside) - F.first("_drop").over(inside),
+    }).where((F.col("_slot") == F.floor(F.col(time) / F.lit(window))) & (F.col("_n") > 1))
+    seen = seen.withColumn("_grown", F.col(value) - F.col("_v") + F.col("_lost")).withColumn("_span", (F.col(time) - F.col("_t")).cast("double"))
+    mean = F.col("_span") / (F.col("_n") - 1)
+    start = F.col("_t") - (F.col(time) - F.lit(window))
+    start = F.when(start >= mean * 1.1, mean / 2).otherwise(start.cast("double"))
+    zero = F.when((F.col("_grown") > 0) & (F.col("_v") >= 0), F.col("_span") * (F.col("_v") / F.col("_grown"))).otherwise(start)
+    factor = (F.col("_span") + F.least(start, zero)) / F.col("_span")  # a window ends at a sample, so nothing is added there
+    return seen.withColumn("increase", F.col("_grown") * factor).withColumn("rate", F.col("increase") / window).drop("_drop", "_n", "_t", "_v", "_lost", "_grown", "_span", "_slot")
+
+
+def instant(times: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, value: str, lookback: int = 300) -> DataFrame:
+    """times with the value of the last sample of their series in the ``lookback`` seconds up to ``at``, the oldest second left out; times without one give no row."""
+    asked = times.withColumn("_slot", F.floor(F.col(at) / F.lit(lookback)).cast("bigint"))
+    held = _slotted(samples.select(*by, F.col(time).alias("_time"), F.col(value).alias("_value")), "_time", lookback)
+    found = as_of(asked, held, [*by, "_slot"], at, "_time", ["_time", "_value"])
+    return found.where(F.col("_time") > F.col(at) - F.lit(lookback)).withColumn(value, F.col("_value")).drop("_slot", "_time", "_value")
 
 
 def histogram(values: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:

@@ -376,9 +376,28 @@ def _(t: Tables) -> DataFrame:
     return dedup.greedy_drops(dedup.overlap_pairs(s, s, 0.85, True))
 
 
-@query("minhash_signature")
+def _question_strings(t: Tables) -> DataFrame:
+    words = text.words(text.question_key(user(), False))
+    return t.examples.select(F.col("line_no").alias("id"), F.array_distinct(text.ngrams(words, 4)).alias("shingles"))
+
+
+_SIGNED = f"""w AS (SELECT line_no AS id, regexp_extract_all({_norm(_key(_said('user')))}, '{_W}') AS w FROM examples),
+s AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i + 3], ' ') for i in range(1, greatest(len(w) - 2, 2))]) AS s FROM w WHERE len(w) > 0),
+h AS (SELECT id, ('0x' || md5(s)[1:8])::BIGINT >> 1 AS x FROM s),
+p AS (SELECT k, 1 + (k * 1103515245 + 12345) % 2147483646 AS a, (k * 69069 + 1) % 2147483647 AS b FROM range(0, 128) t(k)),
+m AS (SELECT id, k, min((x * a + b) % 2147483647) AS v FROM h, p GROUP BY id, k), g AS (SELECT id, list(v ORDER BY k) AS signature FROM m GROUP BY id)"""
+
+
+@query("minhash_signature", f"WITH {_SIGNED} SELECT id, array_to_string(signature, ',') AS signature FROM g")
+def _(t: Tables) -> DataFrame:
+    return dedup.minhash(_question_strings(t), "id").select("id", F.array_join("signature", ",").alias("signature"))
+
+
+@query("minhash_lsh_pairs", f"""WITH {_SIGNED}, k AS (SELECT id, i, signature[8 * i + 1:8 * i + 8] AS part FROM g, range(0, 16) t(i)),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.i = y.i AND x.part = y.part AND x.id < y.id)
+SELECT a, b, len(list_filter(list_zip(ga.signature, gb.signature), lambda e: e[1] = e[2])) / 128 AS estimate FROM c JOIN g ga ON ga.id = a JOIN g gb ON gb.id = b""")
 def _(t: Tables) -> DataFrame:
-    return dedup.minhash(_benchmark_shingles(t), "id", 16)
+    return dedup.lsh_pairs(dedup.minhash(_question_strings(t), "id"), "id", 16)
 
 
 @query("ordered_digest", "SELECT r_name, sha256(array_to_string(list_sort(list(n_name)), chr(10))) AS digest FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")

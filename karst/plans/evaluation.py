@@ -110,6 +110,17 @@ def _(t: Tables) -> DataFrame:
 _GROUP = _norm("split_part(topic, chr(124), 1)")
 
 
+@query("cross_split_overlap", f"""
+WITH s AS (SELECT split, id AS key, 'id' AS kind FROM split_examples UNION ALL SELECT split, {_GROUP}, 'group' FROM split_examples),
+d AS (SELECT split, kind, key, count(*) AS n FROM s WHERE key IS NOT NULL GROUP BY ALL), p AS (SELECT * FROM (VALUES ('train', 'val'), ('val', 'test'), ('train', 'test')) t(one, two)),
+k AS (SELECT * FROM (VALUES ('id'), ('group')) t(kind))
+SELECT p.one, p.two, k.kind, count(y.key) AS n_keys, coalesce(sum(CASE WHEN y.key IS NOT NULL THEN x.n END), 0)::BIGINT AS rows_one, coalesce(sum(y.n), 0)::BIGINT AS rows_two, count(y.key) = 0 AS clean
+FROM p CROSS JOIN k LEFT JOIN d x ON x.split = p.one AND x.kind = k.kind LEFT JOIN d y ON y.split = p.two AND y.kind = k.kind AND y.key = x.key GROUP BY p.one, p.two, k.kind""")
+def _(t: Tables) -> DataFrame:
+    s = t.split_examples.select("split", F.col("id").alias("id"), text.normalize_group(F.col("topic"), False).alias("group"))
+    return evaluate.split_overlap(s, "split", ["id", "group"], [("train", "val"), ("val", "test"), ("train", "test")])
+
+
 @query("contamination_overlap", f"""
 WITH s AS (SELECT id, split, {_QKEY} AS q, {_GROUP} AS g FROM split_examples),
 a AS (SELECT * FROM s WHERE split = 'train'), b AS (SELECT * FROM s WHERE split = 'test')

@@ -120,10 +120,16 @@ def _(t: Tables) -> DataFrame:
     return windows.select("event_type", _epoch("window.end").alias("until"), "n", (F.col("n") / 3600).alias("rate"))
 
 
-# A counter for each event type that starts again each day.
-_COUNTER = f"""s AS (SELECT event_type, {_SECOND} AS s, count(*) AS k FROM events GROUP BY 1, 2), c AS (SELECT event_type, s, sum(k) OVER (PARTITION BY event_type, s // 86400 ORDER BY s)::DOUBLE AS v FROM s),
-d AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL THEN 0 WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS step FROM c WINDOW w AS (PARTITION BY event_type ORDER BY s)),
-r AS (SELECT event_type, s, v, sum(step) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW) AS increase FROM d)"""
+# A counter for each event type that starts again each day, and its samples in the 1,800 seconds up to each of them.
+_COUNTER = f"""s AS (SELECT event_type, {_SECOND} AS s, count(*) AS k FROM events GROUP BY 1, 2), c AS (SELECT event_type, s, sum(k) OVER (PARTITION BY event_type, s // 86400 ORDER BY s)::DOUBLE AS v FROM s)"""
+
+
+def _rates(series: str, by: str, window: int) -> str:
+    """SQL of rates over lists of the samples in each window; series: a table of (by, s, v)."""
+    return f"""l AS (SELECT a.{by}, a.s, list(b.v ORDER BY b.s) AS v, list(b.s ORDER BY b.s) AS t FROM {series} a JOIN {series} b ON a.{by} = b.{by} AND b.s <= a.s AND b.s > a.s - {window} GROUP BY ALL HAVING count(*) > 1),
+g AS (SELECT {by}, s, v[1] AS first, (t[-1] - t[1])::DOUBLE AS span, len(t) - 1 AS steps, (t[1] - s + {window})::DOUBLE AS gap, list_sum(list_transform(range(2, len(v) + 1), lambda i: CASE WHEN v[i] < v[i - 1] THEN v[i] ELSE v[i] - v[i - 1] END)) AS grown FROM l),
+e AS (SELECT *, CASE WHEN gap >= span / steps * 1.1 THEN span / steps / 2 ELSE gap END AS edge FROM g),
+r AS (SELECT {by}, s, grown * ((span + least(edge, CASE WHEN grown > 0 AND first >= 0 THEN span * (first / grown) ELSE edge END)) / span) AS increase FROM e)"""
 
 
 def _counter(t: Tables) -> DataFrame:
@@ -131,14 +137,14 @@ def _counter(t: Tables) -> DataFrame:
     return per.select("event_type", "s", F.sum("k").over(Window.partitionBy("event_type", F.expr("s div 86400")).orderBy("s")).cast("double").alias("v"))
 
 
-@query("promql_rate", f"WITH {_COUNTER} SELECT event_type, s, increase, increase / 1800 AS rate FROM r")
+@query("promql_rate", f"WITH {_COUNTER}, {_rates('c', 'event_type', 1800)} SELECT event_type, s, round(increase, 6) AS increase, round(increase / 1800, 9) AS rate FROM r")
 def _(t: Tables) -> DataFrame:
-    return telemetry.rate(_counter(t), ["event_type"], "s", "v", 1800).select("event_type", "s", "increase", "rate")
+    return telemetry.rate(_counter(t), ["event_type"], "s", "v", 1800).select("event_type", "s", F.round("increase", 6).alias("increase"), F.round("rate", 9).alias("rate"))
 
 
-@query("promql_sum_by", f"WITH {_COUNTER} SELECT s // 3600 AS slot, sum(increase) AS total FROM r GROUP BY 1")
+@query("promql_sum_by", f"WITH {_COUNTER}, {_rates('c', 'event_type', 1800)} SELECT s // 3600 AS slot, round(sum(increase), 4) AS total FROM r GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return telemetry.rate(_counter(t), ["event_type"], "s", "v", 1800).groupBy(F.expr("s div 3600").alias("slot")).agg(F.sum("increase").alias("total"))
+    return telemetry.rate(_counter(t), ["event_type"], "s", "v", 1800).groupBy(F.expr("s div 3600").alias("slot")).agg(F.round(F.sum("increase"), 4).alias("total"))
 
 
 _BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 1.0, 5.0]
@@ -159,23 +165,44 @@ def _(t: Tables) -> DataFrame:
     return rows.withColumn("value", F.round("value", 9))
 
 
+# Counters of first fragments by bound of their wait, per run and second of sending.
+_WAIT_BOUNDS = [0.02, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
+_WAITED = "(SELECT run, floor(sent_epoch)::BIGINT AS s, (first_ns - sent_ns) / 1e9 AS wait FROM warmup_fixed WHERE outcome = 'completed' AND first_ns IS NOT NULL AND sent_ns IS NOT NULL AND sent_epoch IS NOT NULL AND run IS NOT NULL)"
+
+
+@query("promql_quantile_of_rates", f"""
+WITH b AS (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in _WAIT_BOUNDS)}, 'inf'::DOUBLE]) AS le), w AS {_WAITED},
+k AS (SELECT run || '/' || CASE WHEN isinf(le) THEN 'inf' ELSE le::VARCHAR END AS key, run, le, s, count(*) FILTER (WHERE wait <= le) AS k FROM w, b GROUP BY ALL),
+c AS (SELECT key, run, le, s, sum(k) OVER (PARTITION BY key ORDER BY s)::DOUBLE AS v FROM k), {_rates('c', 'key', 30)},
+h AS (SELECT c.run, c.s, c.le, r.increase / 30 AS n FROM r JOIN c ON c.key = r.key AND c.s = r.s),
+q AS (SELECT run, s, le, n, coalesce(lag(le) OVER x, 0) AS lo, coalesce(lag(n) OVER x, 0) AS under, 0.95 * max(n) OVER (PARTITION BY run, s) AS rank FROM h WINDOW x AS (PARTITION BY run, s ORDER BY le))
+SELECT run, s, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (rank - under) / (n - under) END, 6) AS value FROM q WHERE n >= rank AND n > under QUALIFY row_number() OVER (PARTITION BY run, s ORDER BY le) = 1""")
+def _(t: Tables) -> DataFrame:
+    waits = t.warmup_fixed.where("outcome = 'completed' and first_ns is not null and sent_ns is not null and sent_epoch is not null and run is not null")
+    waits = waits.select("run", F.floor("sent_epoch").cast("bigint").alias("s"), ((F.col("first_ns") - F.col("sent_ns")) / 1e9).alias("wait"))
+    counts = telemetry.histogram(waits, ["run", "s"], "wait", _WAIT_BOUNDS)
+    counters = counts.select("run", "s", "le", F.sum("n").over(Window.partitionBy("run", "le").orderBy("s")).cast("double").alias("v"))
+    rates = telemetry.rate(counters, ["run", "le"], "s", "v", 30).select("run", "s", "le", F.col("rate").alias("n"))
+    return telemetry.histogram_quantile(rates, ["run", "s"], 0.95).select("run", "s", F.round("value", 6).alias("value"))
+
+
 @query("promql_offset_delta", f"""
-WITH {_COUNTER} SELECT a.event_type, a.s, a.v - b.v AS delta FROM c a ASOF LEFT JOIN c b ON a.event_type = b.event_type AND a.s - 600 >= b.s""")
+WITH {_COUNTER} SELECT a.event_type, a.s, a.v - b.v AS delta FROM c a ASOF JOIN c b ON a.event_type = b.event_type AND a.s - 600 >= b.s WHERE b.s > a.s - 900""")
 def _(t: Tables) -> DataFrame:
     counter = _counter(t)
     now = counter.withColumn("then", F.col("s") - 600)
-    joined = telemetry.as_of(now, counter.withColumnsRenamed({"v": "before"}), ["event_type"], "then", "s", ["before"])
+    joined = telemetry.instant(now, counter.withColumnRenamed("v", "before"), ["event_type"], "then", "s", "before")
     return joined.select("event_type", "s", (F.col("v") - F.col("before")).alias("delta"))
 
 
 @query("promql_range_grid", f"""
 WITH {_COUNTER}, b AS (SELECT min(s) // 3600 * 3600 AS a, max(s) AS z FROM c), g AS (SELECT event_type, unnest(range(a, z + 1, 3600)) AS at FROM b, (SELECT DISTINCT event_type FROM c))
-SELECT g.event_type, g.at, c.v AS value FROM g ASOF LEFT JOIN c ON g.event_type = c.event_type AND g.at >= c.s""")
+SELECT g.event_type, g.at, c.v AS value FROM g ASOF JOIN c ON g.event_type = c.event_type AND g.at >= c.s WHERE c.s > g.at - 300""")
 def _(t: Tables) -> DataFrame:
     counter = _counter(t)
     span = counter.agg(F.sequence(F.expr("min(s) div 3600 * 3600"), F.max("s"), F.lit(3600).cast("bigint")).alias("g"))
     grid = counter.select("event_type").distinct().crossJoin(F.broadcast(span)).select("event_type", F.explode("g").alias("at"))  # one row of bounds
-    return telemetry.as_of(grid, counter.withColumnRenamed("v", "value"), ["event_type"], "at", "s", ["value"])
+    return telemetry.instant(grid, counter.withColumnRenamed("v", "value"), ["event_type"], "at", "s", "value").select("event_type", "at", "value")
 
 
 @query("promql_label_match", "SELECT outcome, count(*) AS n FROM warmup_fixed WHERE regexp_full_match(outcome, 'aborted|rejected') AND pod LIKE 'api-%' GROUP BY outcome")
@@ -298,10 +325,10 @@ def _(t: Tables) -> DataFrame:
     return peak.where(F.col("slot") == F.expr("s div 2700")).select("s", "peak")
 
 
-@query("zoned_time", "SELECT request_id, seq, strftime(make_timestamp((sent_epoch * 1000000)::BIGINT) + INTERVAL 3 HOUR, '%H:%M:%S') AS at FROM warmup_fixed")
+@query("zoned_time", "SELECT request_id, seq, strftime(make_timestamp((sent_epoch * 1000000)::BIGINT) + INTERVAL 3 HOUR, '%H:%M:%S.%g') AS at FROM warmup_fixed")
 def _(t: Tables) -> DataFrame:
     stamp = F.timestamp_micros((F.col("sent_epoch") * 1000000).cast("bigint"))
-    return t.warmup_fixed.select("request_id", "seq", F.date_format(F.from_utc_timestamp(stamp, "+03:00"), "HH:mm:ss").alias("at"))
+    return t.warmup_fixed.select("request_id", "seq", F.date_format(F.from_utc_timestamp(stamp, "+03:00"), "HH:mm:ss.SSS").alias("at"))
 
 
 @query("combined_lineage", "SELECT traffic AS origin, count(*) AS n, count(pod) AS answered FROM warmup_fixed GROUP BY traffic")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -256,7 +257,37 @@ def test_strict_scoring(spark):
 
 def test_rate_counts_resets_from_zero(spark):
     df = spark.createDataFrame([("a", t, v) for t, v in ((0, 1.0), (10, 4.0), (20, 2.0), (50, 3.0))], "k string, t long, v double")
-    assert [r["increase"] for r in telemetry.rate(df, ["k"], "t", "v", 30).orderBy("t").collect()] == [0.0, 3.0, 5.0, 1.0]
+    got = {r["t"]: r["increase"] for r in telemetry.rate(df, ["k"], "t", "v", 30).collect()}
+    assert got == {10: pytest.approx(4.0), 20: pytest.approx(6.0)}  # alone in its window, 50 has no rate
+
+
+def test_rate_equals_the_rule_on_whole_windows(spark):
+    r = random.Random(2)
+    rows, v = [], 0.0
+    for t in sorted(r.sample(range(4000), 300)):
+        v = float(r.randint(0, 3)) if r.random() < 0.05 else v + r.randint(0, 5)
+        rows.append(("a", t, v))
+    got = {x["t"]: x["rate"] for x in telemetry.rate(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", "v", 120).collect()}
+    want = {}
+    for _, end, _ in rows:
+        inside = [(t, v) for _, t, v in rows if end - 120 < t <= end]
+        if len(inside) < 2:
+            continue
+        grown = sum(b if b < a else b - a for (_, a), (_, b) in zip(inside, inside[1:]))
+        span = inside[-1][0] - inside[0][0]
+        mean, gap = span / (len(inside) - 1), inside[0][0] - (end - 120)
+        gap = mean / 2 if gap >= 1.1 * mean else gap
+        if grown > 0:
+            gap = min(gap, span * inside[0][1] / grown)
+        want[end] = grown * (span + gap) / span / 120
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+
+
+def test_instant_values_look_back_five_minutes(spark):
+    samples = spark.createDataFrame([("a", 0, 1.0), ("a", 299, 2.0), ("a", 1000, 3.0), (None, 5, 9.0)], "k string, t long, v double")
+    times = spark.createDataFrame([("a", 299), ("a", 300), ("a", 598), ("a", 599), ("a", 999), ("a", 1001), (None, 300), ("b", 0)], "k string, at long")
+    got = {(r["k"], r["at"]): r["v"] for r in telemetry.instant(times, samples, ["k"], "at", "t", "v").collect()}
+    assert got == {("a", 299): 2.0, ("a", 300): 2.0, ("a", 598): 2.0, ("a", 1001): 3.0, (None, 300): 9.0}
 
 
 def test_histogram_quantile_golden(spark):
@@ -320,10 +351,72 @@ def test_chat_encoding_masks_the_prompt(spark):
 
 def test_balanced_sample_reaches_its_ratio(spark):
     df = spark.createDataFrame([(n, f"g{n % 50}", 10 + n % 90, f"{n * 7919 % 1000:04}") for n in range(1000)], "id int, grp string, l int, p string")
-    sample, fraction = sampling.balanced(df, "l", "grp", ["p", "id"], 9, 100, 2.0)
-    assert sample.count() == 100 and 0 < fraction <= 0.1
+    sample, share = sampling.balanced(df, "l", "grp", ["p", "id"], 9, (60, 100), 2.0)
+    assert sample.count() == 100 and 0 < share <= 0.1 and sorted(r["slot"] for r in sample.collect()) == list(range(100))
     with pytest.raises(ValueError):
-        sampling.balanced(df, "l", "grp", ["p", "id"], 9, 100, 99.0)
+        sampling.balanced(df, "l", "grp", ["p", "id"], 9, (100,), 99.0)
+
+
+def test_small_samples_are_the_head_under_the_cap(spark):
+    df = spark.createDataFrame([(n, "hot" if n < 9 else f"g{n}", n, f"{n:03}") for n in range(20)], "id int, grp string, l int, p string")
+    sample, share = sampling.balanced(df, "l", "grp", ["p"], 2, (5,), 99.0)
+    assert share is None and [(r["id"], r["slot"]) for r in sample.orderBy("slot").collect()] == [(0, 0), (1, 1), (9, 2), (10, 3), (11, 4)]
+    with pytest.raises(ValueError):
+        sampling.balanced(df, "l", "grp", ["p"], 2, (50,), 1.0)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_groups_go_where_the_rule_says(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"g{k}": r.choice([1, 1, 1, 2, 3, 7, r.randint(1, 60)]) for k in range(r.choice([3, 40, 150]))}
+    ratios = r.choice([{"train": 0.8, "val": 0.1, "test": 0.1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}])
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "grp string")
+    got = {x["group"]: x["split"] for x in sampling.group_split(df, "grp", ratios, 7).collect()}
+    total, held, want = sum(sizes.values()), dict.fromkeys(ratios, 0), {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"7:{g}".encode()).hexdigest())):
+        best = None
+        for place, split in enumerate(ratios):
+            wish, n = total * ratios[split], sizes[g]
+            rank = (held[split] >= wish, (held[split] + n - wish) / wish, held[split] / wish, place)
+            best = min(best or (rank, split), (rank, split))
+        want[g] = best[1]
+        held[best[1]] += sizes[g]
+    assert got == want
+
+
+def test_rounding_by_the_exact_binary_value(spark):
+    r = random.Random(5)
+    values = [2.675, 1.005, 0.125, 0.375, 2.5, 3.5, -2.5, -0.125, 1e15, 0.0, 1.115, 2.345] + [round(r.uniform(-50, 50), 3) for _ in range(400)] + [r.randint(0, 9999) / 8 for _ in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", *(stats.half_even(F.col("x"), k).alias(f"r{k}") for k in (0, 1, 2))).collect()
+    assert all(x[f"r{k}"] == round(x["x"], k) for x in got for k in (0, 1, 2))
+
+
+def test_casefold(spark):
+    words = ["Straße", "ΣΊΣΥΦΟΣ", "ﬁne", "ЁЖ", "İ", "plain", "ŉ", None, ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [x[0] for x in df.select(text.casefold(F.col("w"))).collect()] == [w and w.casefold() for w in words]
+
+
+def test_minhash_estimates_and_bands(spark):
+    r = random.Random(3)
+    base = [f"s{k}" for k in range(60)]
+    rows = [(0, base), (1, base), (2, base[:57] + ["x", "y", "z"]), (3, [f"o{k}" for k in range(60)]), (4, []), (5, None)]
+    signed = dedup.minhash(spark.createDataFrame(rows, "id int, shingles array<string>"), "id")
+    held = {x["id"]: x["signature"] for x in signed.collect()}
+    assert set(held) == {0, 1, 2, 3} and all(len(v) == 128 for v in held.values())
+    for k in r.sample(range(128), 5):
+        a, b = dedup.permutation(k)
+        hashes = [int(hashlib.md5(s.encode()).hexdigest()[:8], 16) >> 1 for s in rows[2][1]]
+        assert held[2][k] == min((a * x + b) % dedup.PRIME for x in hashes)
+    pairs = {(x["a"], x["b"]): x["estimate"] for x in dedup.lsh_pairs(signed, "id", 16).collect()}
+    assert set(pairs) == {(0, 1), (0, 2), (1, 2)} and pairs[0, 1] == 1.0 and abs(pairs[0, 2] - 57 / 63) < 0.1
+
+
+def test_split_overlaps(spark):
+    df = spark.createDataFrame([("train", "a", "g"), ("train", "a", None), ("val", "a", "h"), ("test", "b", "g"), (None, "a", "g"), ("val", None, None)], "split string, id string, grp string")
+    got = {(x["one"], x["two"], x["kind"]): (x["n_keys"], x["rows_one"], x["rows_two"], x["clean"]) for x in evaluate.split_overlap(df, "split", ["id", "grp"], [("train", "val"), ("val", "test"), ("train", "test")]).collect()}
+    assert got == {("train", "val", "id"): (1, 2, 1, False), ("train", "val", "grp"): (0, 0, 0, True), ("val", "test", "id"): (0, 0, 0, True), ("val", "test", "grp"): (0, 0, 0, True), ("train", "test", "id"): (0, 0, 0, True), ("train", "test", "grp"): (1, 1, 1, False)}
 
 
 def test_snapshots_and_alert_marks(spark):
