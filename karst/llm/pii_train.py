@@ -1,6 +1,6 @@
 """Labelled spans for the tagger of pii.py, and its training.
 
-    python -m karst.llm.pii_train TEXTS.parquet ... [--steps N] [--workers N]
+    python -m karst.llm.pii_train TEXTS.parquet ... [--vocabulary FILE.tiktoken] [--steps N] [--seconds N] [--workers N]
 
 Private data is invented here from common names, rules of word formation and public formats.
 It is set into sentence frames and, as often, at any word boundary of background texts, so
@@ -69,6 +69,8 @@ class Words:
     background: tuple[str, ...] = ("текст без данных",)
     #: The same sentences as often as they stand, so that what every second row says is seen as often.
     common: tuple[str, ...] = ()
+    #: Ordinary words, of which sentences without sense are made.
+    lexicon: tuple[str, ...] = ()
 
 
 _FRAMES: dict[str, tuple[str, ...]] = {
@@ -160,15 +162,15 @@ class Maker:
 
     def name(self) -> str:
         r, w = self.r, self.w
-        if self.chance(0.27):
-            first = r.choice(w.latin) if self.chance(0.7) else self.syllables(2, True).capitalize()
-            last = r.choice(w.last) if self.chance(0.4) else (self.syllables(r.randint(1, 3), True) + r.choice(["", *"bdklmnprstv"]) + (r.choice(_LATIN_TAILS) if self.chance(0.6) else r.choice(["", self.syllables(1, True), *"nrsltk"]))).capitalize()
+        if self.chance(0.34):
+            first = r.choice(w.latin) if self.chance(0.55) else self.syllables(2, True).capitalize()
+            last = r.choice(w.last) if self.chance(0.3) else (self.syllables(r.randint(1, 3), True) + r.choice(["", *"bdklmnprstv"]) + (r.choice(_LATIN_TAILS) if self.chance(0.6) else r.choice(["", self.syllables(1, True), *"nrsltk"]))).capitalize()
             if self.chance(0.05):
                 last = r.choice(["Mc", "O'", "De ", "von ", "van "]) + last
             mid = r.choice(w.latin)
             return r.choice([f"{first} {last}"] * 8 + [f"{last} {first}", f"{last}, {first}", f"{first[0]}. {last}", f"{first[0]}. {mid[0]}. {last}", f"{first} {mid[0]}. {last}", f"{first} {mid} {last}", f"{last} {first[0]}.", f"{first} {last}-{r.choice(w.last)}"])
         female = self.chance(0.5)
-        first = r.choice(w.female if female else w.male) if self.chance(0.92) else self.syllables(r.randint(2, 3)).capitalize()
+        first = r.choice(w.female if female else w.male) if self.chance(0.82) else self.syllables(r.randint(2, 3)).capitalize()
         last, father = self.surname()[female], r.choice(w.male)
         if self.chance(0.04):
             last += "-" + self.surname()[female]
@@ -329,8 +331,7 @@ class Maker:
             lambda: r.choice([f"{he} {r.choice(['опередил соседей', 'ушел', 'молчит', 'не ответил', 'прав'])}.", f"{first} пришел", f"{first} {self.patronymic(r.choice(self.w.male), False)}", f"господин {he}", f"теорема {of}", f"метод {of}", f"закон {of}", f"Mr. {r.choice(self.w.last)}", f"{r.choice(self.w.latin)} said", f"доктор {he}", f"г-жа {she}"]),
             lambda: r.choice(_PLACES) + " " + r.choice([self.town(), adj, f"{adj} {self.town()}", f"{self.town()}-{self.town()}", he, f"{self.syllables(2).capitalize()} {self.syllables(2).capitalize()}", f"{he} {self.syllables(2).capitalize()}"]),
             lambda: f"{adj} {self.syllables(r.randint(2, 3)).capitalize()}" if self.chance(0.5) else f"{self.syllables(2).capitalize()} {r.choice(['Верно ли', 'Укажите', 'Когда', 'Сколько', 'Почему', 'Назовите', 'Где'])}",
-            lambda: " ".join(self.syllables(r.randint(1, 3)).capitalize() for _ in range(r.randint(2, 3))),
-            lambda: " ".join(self.syllables(r.randint(1, 3), True).capitalize() for _ in range(r.randint(2, 3))),
+            lambda: " ".join([self.syllables(r.randint(1, 3)).capitalize(), *(r.choice(self.w.lexicon or ("слово",)) for _ in range(r.randint(1, 3)))]),
         ])()
 
     def item(self, kind: str) -> tuple[str, str, str]:
@@ -345,7 +346,18 @@ class Maker:
             return before, number, ""
         return "", {"email": self.email, "phone": self.phone, "address": self.address, "name": self.name}[kind](), ""
 
+    def salad(self) -> str:
+        """Ordinary words in any order, hardly ever capitalized, with punctuation."""
+        r = self.r
+        held = r.choices(self.w.lexicon, k=r.randint(2, 9))
+        if self.chance(0.1):
+            held = [w.capitalize() if self.chance(0.4) else w for w in held]
+        text = "".join(w + r.choice([" ", " ", " ", " ", ", ", " — ", ". ", ": "]) for w in held).strip(" ,—:")
+        return text[:1].upper() + text[1:] + r.choice([".", "", "?", "!", ";"]) if self.chance(0.7) else text
+
     def sentence(self) -> str:
+        if self.w.lexicon and self.chance(0.22):
+            return self.salad()
         return self.r.choice(self.w.background if self.chance(0.7) or not self.w.common else self.w.common) if self.chance(0.88) else " ".join(self.syllables(self.r.randint(1, 4)) for _ in range(self.r.randint(2, 9))).capitalize() + self.r.choice([".", "", "?", "!"])
 
     def piece(self) -> list[tuple[str, int]]:
@@ -449,6 +461,20 @@ def background(paths: list[str], words: Words) -> Words:
     return replace(words, background=tuple(sorted(set(found))), common=tuple(found))
 
 
+def lexicon(path: str, words: Words) -> tuple[str, ...]:
+    """Whole words of three letters or more in lower case from a public vocabulary (base64 of the bytes and rank on a line)."""
+    import base64
+
+    found = set()
+    with open(path) as lines:
+        for line in lines:
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+            if re.fullmatch(r" [а-яё]{3,}| [a-z]{3,}", token) and clean(token, words):
+                found.add(token[1:])
+    cyrillic = sorted(w for w in found if w[0] > "z")
+    return tuple(cyrillic + sorted(found - set(cyrillic))[:: max(1, len(found) // max(1, 3 * len(cyrillic)))])
+
+
 def batches(maker: Maker, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Endless batches of windows of WINDOW characters, most of them around an item."""
     r = maker.r
@@ -525,12 +551,14 @@ def main(args: list[str]) -> None:
     parser.add_argument("--seconds", type=float, default=1e9)
     parser.add_argument("--out", default=MODEL)
     parser.add_argument("--start")
+    parser.add_argument("--vocabulary")
     parser.add_argument("--rate", type=float, default=5e-3)
     parser.add_argument("--seed", type=int, default=101)
     given = parser.parse_args(args)
     os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
     words = background(given.texts, Words())
-    print(len(words.background), "background sentences", flush=True)
+    words = replace(words, lexicon=lexicon(given.vocabulary, words) if given.vocabulary else ())
+    print(len(words.background), "background sentences", len(words.lexicon), "words", flush=True)
     tagger = fit(words, steps=given.steps, workers=given.workers, seconds=given.seconds, rate=given.rate, start=Tagger.load(given.start) if given.start else None, seed=given.seed)
     tagger.save(given.out)
 
