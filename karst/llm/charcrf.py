@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,9 +36,21 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+@lru_cache(maxsize=1)
+def _plane() -> np.ndarray:
+    """Codes of the first 65,536 code points; surrogates stand for themselves."""
+    return np.array([_codes.__missing__(point) for point in range(1 << 16)], dtype=np.int16)
+
+
 def encode(text: str) -> np.ndarray:
     """One code for each code point."""
-    return np.fromiter((_codes[ord(c)] for c in text), dtype=np.int16, count=len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if text.isascii() or not len(points) or points.max() < 1 << 16:
+        return _plane()[points]
+    out = _plane()[np.minimum(points, (1 << 16) - 1)]
+    for k in np.flatnonzero(points >= 1 << 16):
+        out[k] = _codes[int(points[k])]
+    return out
 
 
 def _sigmoid_tanh(z: np.ndarray, hidden: int) -> np.ndarray:
@@ -107,65 +120,100 @@ class Tagger:
         return top @ p["out"] + p["ob"], top, both, hs, live, kept
 
     def emissions(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, TAGS). Each gate is an array of its own, so that every step works on whole arrays."""
+        """Tag scores (T, B, TAGS). Features lie in rows, so that each gate is a whole array and a step is one product."""
         p, h_size = self.p, self.hidden
         steps, batch = codes.shape
-        # a symbol and its case give the same input to the gates wherever they stand
         each = (p["symbol"][None] + p["case"][:, None]).reshape(2 * SYMBOLS, -1)
-        table = (np.matmul(each, p["wx"]) + p["b"]).reshape(2, 2 * SYMBOLS, 4, h_size).transpose(0, 2, 1, 3)
-        wh = p["wh"].reshape(2, h_size, 4, h_size).transpose(0, 2, 1, 3)
+        size, kind = each.shape[1], each.dtype
+        inputs = np.ascontiguousarray(each[codes].transpose(0, 2, 1))
         # the logistic function is (1 + tanh(z / 2)) / 2
-        half = np.array([0.5, 0.5, 0.5, 1.0], dtype=table.dtype)[:, None, None]
-        table, wh = np.ascontiguousarray(table * half), np.ascontiguousarray(wh * half)
-        out = np.empty((2, steps, batch, TAGS), dtype=table.dtype)
-        h, c, one = (np.empty((batch, h_size), dtype=table.dtype) for _ in range(3))
-        z, x = (np.empty((4, batch, h_size), dtype=table.dtype) for _ in range(2))
-        gates, (i, f, o, g) = z[:3], z
-        codes = codes.astype(np.intp)
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], dtype=kind), h_size)
+        weights = np.concatenate([p["wh"], p["wx"], p["b"]], axis=1) * half
+        weights = np.ascontiguousarray(weights.transpose(0, 2, 1))
+        out = np.empty((2, steps, batch, TAGS), dtype=kind)
+        # both directions at once, the second from the end; a step starts from h, the symbols and one for the bias
+        held = np.ones((2, h_size + size + 1, batch), dtype=kind)
+        h, x = held[:, :h_size], held[:, h_size:-1]
+        h[:] = 0
+        c, one = np.zeros(h.shape, dtype=kind), np.empty(h.shape, dtype=kind)
+        z = np.empty((2, 4 * h_size, batch), dtype=kind)
+        gates, (i, f, o, g) = z[:, : 3 * h_size], z.reshape(2, 4, h_size, batch).transpose(1, 0, 2, 3)
+        last = p["out"].reshape(2, h_size, TAGS)
         full = mask.all(axis=1)
-        for d in range(2):
-            h[:] = c[:] = 0
-            last = p["out"][d * h_size : (d + 1) * h_size]
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                for k in range(4):
-                    np.matmul(h, wh[d, k], out=z[k])
-                    np.take(table[d, k], codes[t], axis=0, out=x[k], mode="clip")
-                z += x
-                np.tanh(z, out=z)
-                gates += 1.0
-                gates *= 0.5
-                c *= f
-                i *= g
-                c += i
-                if not full[t]:
-                    c *= mask[t][:, None]
-                np.tanh(c, out=one)
-                np.multiply(o, one, out=h)
-                np.matmul(h, last, out=out[d, t])
+        for t in range(steps):
+            u = steps - 1 - t
+            x[0], x[1] = inputs[t], inputs[u]
+            np.matmul(weights, held, out=z)
+            np.tanh(z, out=z)
+            gates += 1.0
+            gates *= 0.5
+            c *= f
+            i *= g
+            c += i
+            for d, at in ((0, t), (1, u)):
+                if not full[at]:
+                    c[d] *= mask[at]
+            np.tanh(c, out=one)
+            np.multiply(o, one, out=h)
+            np.matmul(h[0].T, last[0], out=out[0, t])
+            np.matmul(h[1].T, last[1], out=out[1, u])
         out[0] += out[1]
         out[0] += p["ob"]
         return out[0]
 
+    def allowed(self) -> np.ndarray:
+        """Transitions with those barred that no tagged text has: inside goes on only from begin or inside of its kind, and begin doesn't follow begin."""
+        trans = np.full((TAGS, TAGS), -1e4, dtype=self.p["trans"].dtype)
+        kept = np.zeros((TAGS, TAGS), dtype=bool)
+        kept[:, 0] = True
+        kept[np.ix_([0, *range(2, TAGS, 2)], range(1, TAGS, 2))] = True
+        for k in range(1, TAGS, 2):
+            kept[[k, k + 1], k + 1] = True
+        trans[kept] = self.p["trans"][kept]
+        return trans
+
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags (T, B) under the transitions."""
+        """Best tags (T, B) under the allowed transitions."""
         steps, batch, _ = scores.shape
-        trans = self.p["trans"]
+        trans = self.allowed()
+        first = self.p["first"].copy()
+        first[2::2] = -1e4
+        scores = np.ascontiguousarray(scores.transpose(0, 2, 1))
         best = np.empty((steps, TAGS, batch), dtype=scores.dtype)  # of the paths that end in a tag
-        best[0] = (scores[0] + self.p["first"]).T
-        one, most = np.empty((TAGS, batch), dtype=scores.dtype), np.empty((TAGS, batch), dtype=scores.dtype)
+        best[0] = scores[0] + first[:, None]
+        stays = np.zeros((steps, batch), dtype=bool)  # whether the best path to O comes from O
+        kinds = (TAGS - 1) // 2
+        one, most = np.empty((kinds, batch), dtype=scores.dtype), np.empty((kinds, batch), dtype=scores.dtype)
+        every = np.empty((TAGS, batch), dtype=scores.dtype)
+        to_begin = [(k, np.ascontiguousarray(trans[k, 1::2])[:, None]) for k in (0, *range(2, TAGS, 2))]
+        to_none = np.ascontiguousarray(trans[:, 0])[:, None]
+        from_begin, from_inside = (np.array([trans[k + d, k + 1] for k in range(1, TAGS, 2)])[:, None] for d in (0, 1))
         for t in range(1, steps):
-            np.add(best[t - 1][0], trans[0][:, None], out=most)
-            for k in range(1, TAGS):
-                np.add(best[t - 1][k], trans[k][:, None], out=one)
-                np.maximum(most, one, out=most)
-            np.add(most, scores[t].T, out=best[t])
+            old, new = best[t - 1], best[t]
+            np.add(old, to_none, out=every)
+            every.max(axis=0, out=new[0])
+            np.equal(every[0], new[0], out=stays[t])
+            for k, go in to_begin:
+                if k:
+                    np.add(old[k], go, out=one)
+                    np.maximum(most, one, out=most)
+                else:
+                    np.add(old[0], go, out=most)
+            new[1::2] = most
+            np.add(old[1::2], from_begin, out=one)
+            np.add(old[2::2], from_inside, out=most)
+            np.maximum(one, most, out=new[2::2])
+            new += scores[t]
         tags = np.zeros((steps, batch), dtype=np.int8)
         now = np.zeros(batch, dtype=np.int64)
         for t in range(steps - 1, -1, -1):
-            ends = lengths == t + 1
-            before = best[t] if t + 1 == steps else best[t] + np.where(ends, 0, trans[:, now])
-            now = before.argmax(axis=0)
-            tags[t] = np.where(t < lengths, now, 0)
+            last = lengths == t + 1
+            asked = np.flatnonzero((lengths > t + 1) & ((now > 0) | ~stays[t + 1]) | last) if t + 1 < steps else np.flatnonzero(last)
+            if len(asked):
+                before = best[t][:, asked]
+                before += np.where(last[asked], 0, trans[:, now[asked]])
+                now[asked] = before.argmax(axis=0)
+            tags[t] = now
         return tags
 
     def loss(self, codes: np.ndarray, mask: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

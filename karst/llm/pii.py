@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from karst.llm.charcrf import KINDS, TAGS, Tagger, encode
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-WINDOW = 256
-STRIDE = 224
+WINDOW = 512
+STRIDE = 448
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-_BATCH = 320
+_BATCH = 512
 #: Characters that are tagged at once, and of a block with its padding, unless one text alone has more.
-_AT_ONCE = 400_000
+_AT_ONCE = 800_000
 
 _DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -72,14 +72,17 @@ def tag(texts: list[str], model: Tagger) -> list[np.ndarray]:
     """Tags of each text: windows are scored, averaged where they overlap, and decoded as a whole."""
     codes = [encode(t) for t in texts]
     places: dict[bytes, list[tuple[int, int]]] = {}
+    sizes = np.array([len(c) for c in codes], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
     for k, c in enumerate(codes):
         for at in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE):
             places.setdefault(c[at : at + WINDOW].tobytes(), []).append((k, at))
     windows = [np.frombuffer(w, dtype=np.int16) for w in places]
     where = list(places.values())
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
-    scores = [np.zeros((len(c), TAGS), dtype=np.float32) for c in codes]
-    seen = [np.zeros(len(c), dtype=np.float32) for c in codes]
+    total = int(sizes.sum())
+    scores, seen = np.zeros((total, TAGS), dtype=np.float32), np.zeros(total, dtype=np.float32)
+    up = np.arange(1, WINDOW + 1, dtype=np.float32)
     # characters amid a window are read with more around them and count more
     for some in _chunks(lengths):
         steps = int(lengths[some].max())
@@ -89,24 +92,29 @@ def tag(texts: list[str], model: Tagger) -> list[np.ndarray]:
         out = model.emissions(block, np.arange(steps)[:, None] < lengths[some])
         for b, w in enumerate(some):
             n = int(lengths[w])
-            share = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)
-            weighted = out[:n, b] * share[:, None]
+            part = np.minimum(up[:n], up[:n][::-1])
             for k, at in where[w]:
-                scores[k][at : at + n] += weighted
-                seen[k][at : at + n] += share
-    sizes = np.array([len(c) for c in codes], dtype=np.int64)
-    tags: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
+                here = int(starts[k]) + at
+                if n == sizes[k]:  # the window is the whole text
+                    scores[here : here + n] = out[:n, b]
+                else:
+                    scores[here : here + n] += out[:n, b] * part[:, None]
+                    seen[here : here + n] += part
+    some = np.flatnonzero(seen)
+    scores[some] /= seen[some][:, None]
+    return _decoded(scores, sizes, starts, model)
+
+
+def _decoded(scores: np.ndarray, sizes: np.ndarray, starts: np.ndarray, model: Tagger) -> list[np.ndarray]:
+    """Tags on the best path over each text."""
+    tags = np.zeros(len(scores), dtype=np.int8)
     for some in _chunks(sizes):
         steps = int(sizes[some].max())
-        if not steps:
-            continue
-        block = np.zeros((steps, len(some), TAGS), dtype=np.float32)
-        for b, k in enumerate(some):
-            block[: sizes[k], b] = scores[k] / np.maximum(seen[k], 1e-6)[:, None]
-        best = model.viterbi(block, sizes[some])
-        for b, k in enumerate(some):
-            tags[k] = best[: sizes[k], b]
-    return tags
+        if steps:
+            inside = np.arange(steps)[:, None] < sizes[some]
+            at = np.where(inside, starts[some] + np.arange(steps)[:, None], 0)
+            tags[at[inside]] = model.viterbi(scores[at], sizes[some])[inside]
+    return [tags[a : a + n] for a, n in zip(starts, sizes)]
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -150,6 +158,8 @@ def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for group in _groups(texts):
         for k, tags in zip(group, tag([texts[k] for k in group], model)):
+            if not tags.any():
+                continue
             text = texts[k]
             upto = 0  # spans don't overlap after growing
             for start, end, kind in spans_of(tags):
