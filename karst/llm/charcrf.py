@@ -126,9 +126,9 @@ class Tagger:
         each = (p["symbol"][None] + p["case"][:, None]).reshape(2 * SYMBOLS, -1)
         size, kind = each.shape[1], each.dtype
         inputs = np.ascontiguousarray(each[codes].transpose(0, 2, 1))
-        # the logistic function is (1 + tanh(z / 2)) / 2
+        # the logistic function is (1 + tanh(z / 2)) / 2; the last half is taken of the cell, and for h of what reads it
         half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], dtype=kind), h_size)
-        weights = np.concatenate([p["wh"], p["wx"], p["b"]], axis=1) * half
+        weights = np.concatenate([p["wh"] * 0.5, p["wx"], p["b"]], axis=1) * half
         weights = np.ascontiguousarray(weights.transpose(0, 2, 1))
         out = np.empty((2, steps, batch, TAGS), dtype=kind)
         # both directions at once, the second from the end; a step starts from h, the symbols and one for the bias
@@ -138,7 +138,7 @@ class Tagger:
         c, one = np.zeros(h.shape, dtype=kind), np.empty(h.shape, dtype=kind)
         z = np.empty((2, 4 * h_size, batch), dtype=kind)
         gates, (i, f, o, g) = z[:, : 3 * h_size], z.reshape(2, 4, h_size, batch).transpose(1, 0, 2, 3)
-        last = p["out"].reshape(2, h_size, TAGS)
+        last = p["out"].reshape(2, h_size, TAGS) * kind.type(0.5)
         full = mask.all(axis=1)
         for t in range(steps):
             u = steps - 1 - t
@@ -146,10 +146,10 @@ class Tagger:
             np.matmul(weights, held, out=z)
             np.tanh(z, out=z)
             gates += 1.0
-            gates *= 0.5
             c *= f
             i *= g
             c += i
+            c *= 0.5
             for d, at in ((0, t), (1, u)):
                 if not full[at]:
                     c[d] *= mask[at]
@@ -162,11 +162,11 @@ class Tagger:
         return out[0]
 
     def allowed(self) -> np.ndarray:
-        """Transitions with those barred that no tagged text has: inside goes on only from begin or inside of its kind, and begin doesn't follow begin."""
+        """Transitions with those barred that no tagged text has: inside goes on only from begin or inside of its kind, and an item doesn't begin right behind another."""
         trans = np.full((TAGS, TAGS), -1e4, dtype=self.p["trans"].dtype)
         kept = np.zeros((TAGS, TAGS), dtype=bool)
         kept[:, 0] = True
-        kept[np.ix_([0, *range(2, TAGS, 2)], range(1, TAGS, 2))] = True
+        kept[0, 1::2] = True
         for k in range(1, TAGS, 2):
             kept[[k, k + 1], k + 1] = True
         trans[kept] = self.p["trans"][kept]
@@ -185,7 +185,7 @@ class Tagger:
         kinds = (TAGS - 1) // 2
         one, most = np.empty((kinds, batch), dtype=scores.dtype), np.empty((kinds, batch), dtype=scores.dtype)
         every = np.empty((TAGS, batch), dtype=scores.dtype)
-        to_begin = [(k, np.ascontiguousarray(trans[k, 1::2])[:, None]) for k in (0, *range(2, TAGS, 2))]
+        to_begin = np.ascontiguousarray(trans[0, 1::2])[:, None]
         to_none = np.ascontiguousarray(trans[:, 0])[:, None]
         from_begin, from_inside = (np.array([trans[k + d, k + 1] for k in range(1, TAGS, 2)])[:, None] for d in (0, 1))
         for t in range(1, steps):
@@ -193,13 +193,7 @@ class Tagger:
             np.add(old, to_none, out=every)
             every.max(axis=0, out=new[0])
             np.equal(every[0], new[0], out=stays[t])
-            for k, go in to_begin:
-                if k:
-                    np.add(old[k], go, out=one)
-                    np.maximum(most, one, out=most)
-                else:
-                    np.add(old[0], go, out=most)
-            new[1::2] = most
+            np.add(old[0], to_begin, out=new[1::2])
             np.add(old[1::2], from_begin, out=one)
             np.add(old[2::2], from_inside, out=most)
             np.maximum(one, most, out=new[2::2])

@@ -311,7 +311,7 @@ def test_passes_without_gradients_equal_those_with():
     got, want = model.emissions(codes, mask), model._run(codes, mask, keep=False)[0]
     assert np.abs((got - want)[mask]).max() < 1e-4
     best, trans = model.viterbi(want, lengths), model.allowed()
-    assert trans[0, 2] == trans[1, 4] == trans[1, 3] == -1e4 and trans[1, 2] == model.p["trans"][1, 2]
+    assert trans[0, 2] == trans[1, 4] == trans[1, 3] == trans[2, 3] == -1e4 and trans[1, 2] == model.p["trans"][1, 2]
     for b, n in enumerate(lengths):
         path = model.p["first"].astype(np.float64) + want[0, b] - 1e4 * (np.arange(TAGS) % 2 == 0) * (np.arange(TAGS) > 0)
         for t in range(1, n):
