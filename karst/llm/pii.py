@@ -73,48 +73,45 @@ def tag(texts: list[str], model: Tagger) -> list[np.ndarray]:
     codes = [encode(t) for t in texts]
     places: dict[bytes, list[tuple[int, int]]] = {}
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
     for k, c in enumerate(codes):
         for at in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE):
             places.setdefault(c[at : at + WINDOW].tobytes(), []).append((k, at))
     windows = [np.frombuffer(w, dtype=np.int16) for w in places]
     where = list(places.values())
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
-    total = int(sizes.sum())
-    scores, seen = np.zeros((total, TAGS), dtype=np.float32), np.zeros(total, dtype=np.float32)
+    tags: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
+    # of texts of several windows; characters amid a window are read with more around them and count more
+    scores = {k: np.zeros((int(n), TAGS), dtype=np.float32) for k, n in enumerate(sizes) if n > WINDOW}
+    seen = {k: np.zeros(len(v), dtype=np.float32) for k, v in scores.items()}
     up = np.arange(1, WINDOW + 1, dtype=np.float32)
-    # characters amid a window are read with more around them and count more
     for some in _chunks(lengths):
         steps = int(lengths[some].max())
+        if not steps:
+            continue
         block = np.zeros((steps, len(some)), dtype=np.int16)
         for b, w in enumerate(some):
             block[: lengths[w], b] = windows[w]
         out = model.emissions(block, np.arange(steps)[:, None] < lengths[some])
+        best = np.ascontiguousarray(model.viterbi(out, lengths[some]).T)
         for b, w in enumerate(some):
             n = int(lengths[w])
-            part = np.minimum(up[:n], up[:n][::-1])
             for k, at in where[w]:
-                here = int(starts[k]) + at
-                if n == sizes[k]:  # the window is the whole text
-                    scores[here : here + n] = out[:n, b]
-                else:
-                    scores[here : here + n] += out[:n, b] * part[:, None]
-                    seen[here : here + n] += part
-    some = np.flatnonzero(seen)
-    scores[some] /= seen[some][:, None]
-    return _decoded(scores, sizes, starts, model)
-
-
-def _decoded(scores: np.ndarray, sizes: np.ndarray, starts: np.ndarray, model: Tagger) -> list[np.ndarray]:
-    """Tags on the best path over each text."""
-    tags = np.zeros(len(scores), dtype=np.int8)
-    for some in _chunks(sizes):
-        steps = int(sizes[some].max())
-        if steps:
-            inside = np.arange(steps)[:, None] < sizes[some]
-            at = np.where(inside, starts[some] + np.arange(steps)[:, None], 0)
-            tags[at[inside]] = model.viterbi(scores[at], sizes[some])[inside]
-    return [tags[a : a + n] for a, n in zip(starts, sizes)]
+                if k in scores:
+                    part = np.minimum(up[:n], up[:n][::-1])
+                    scores[k][at : at + n] += out[:n, b] * part[:, None]
+                    seen[k][at : at + n] += part
+                else:  # the window is the whole text
+                    tags[k] = best[b, :n]
+    long = np.array(list(scores), dtype=np.int64)
+    for some in _chunks(sizes[long]) if len(long) else ():
+        which = long[some]
+        held = np.zeros((int(sizes[which].max()), len(which), TAGS), dtype=np.float32)
+        for b, k in enumerate(which):
+            held[: sizes[k], b] = scores[k] / seen[k][:, None]
+        best = model.viterbi(held, sizes[which])
+        for b, k in enumerate(which):
+            tags[k] = best[: sizes[k], b]
+    return tags
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
