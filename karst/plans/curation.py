@@ -192,13 +192,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("length_percentiles", f"SELECT {_FLOOR.format(q=0.5)} AS p50, {_FLOOR.format(q=0.9)} AS p90, {_FLOOR.format(q=0.99)} AS p99, count(n_chars) AS n, max(n_chars) AS most FROM documents WHERE n_chars IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return stats.percentile_floor(t.documents, [], "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).crossJoin(t.documents.agg(F.max("n_chars").alias("most")))  # one row each
+    found = stats.percentiles(t.documents, [], {"v": F.col("n_chars")}, {"p50": ("v", "floor", 0.5), "p90": ("v", "floor", 0.9), "p99": ("v", "floor", 0.99)})
+    rest = t.documents.where("n_chars is not null").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
+    return found.crossJoin(rest).select(*(F.col(c).cast("bigint").alias(c) for c in ("p50", "p90", "p99")), "n", "most")  # one row each
 
 
 @query("spread_stats", f"""
-WITH q AS (SELECT source, {_FLOOR.format(q=0.1)} AS p10, {_FLOOR.format(q=0.5)} AS p50, {_FLOOR.format(q=0.9)} AS p90, round(CASE WHEN avg(n_chars) = 0 THEN NULL ELSE stddev_pop(n_chars) / avg(n_chars) END, 3) AS cv, min(n_chars) AS least, max(n_chars) AS most, count(*) AS n
+WITH q AS (SELECT source, {_FLOOR.format(q=0.1)} AS p10, {_FLOOR.format(q=0.5)} AS p50, {_FLOOR.format(q=0.9)} AS p90, round_even(CASE WHEN avg(n_chars) = 0 THEN NULL ELSE stddev_pop(n_chars) / avg(n_chars) END, 3) AS cv, min(n_chars) AS least, max(n_chars) AS most, count(*) AS n
 FROM documents WHERE n_chars IS NOT NULL GROUP BY source)
-SELECT *, round(p90 / greatest(p10, 1), 2) AS ratio FROM q""")
+SELECT *, round_even(p90 / greatest(p10, 1), 2) AS ratio FROM q""")
 def _(t: Tables) -> DataFrame:
     return stats.spread(t.documents, ["source"], "n_chars")
 

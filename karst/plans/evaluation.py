@@ -102,7 +102,7 @@ _QKEY = f"{_norm(_said('user'))}"
 @query("leakage_semi_join", f"""
 SELECT DISTINCT line_no FROM split_examples s WHERE split IN ('val', 'test') AND ({_QKEY} IN (SELECT {_QKEY} FROM split_examples WHERE split = 'train' AND {_QKEY} IS NOT NULL) OR topic IN (SELECT topic FROM split_examples WHERE split = 'train' AND topic IS NOT NULL))""")
 def _(t: Tables) -> DataFrame:
-    rows = t.split_examples.select("line_no", "split", "topic", text.normalize_text(user(), False).alias("q"))
+    rows = t.split_examples.select("line_no", "split", "topic", text.casefold(text.normalize_text(user(), False)).alias("q"))
     train = rows.where("split = 'train'")
     return evaluate.leaked(rows.where("split in ('val', 'test')"), train, "line_no", [("q", "q"), ("topic", "topic")])
 
