@@ -38,7 +38,7 @@ def queries() -> dict[str, Query]:
         "p6_splits": _on("examples", "split_spec")(splits.assign_splits),
         "p7_ids": _on("documents")(tokens.encode_texts),
         "p8_found": _on("documents", "benchmark")(leaks.leaked_items),
-        "p8_near": _on("documents", "benchmark")(lambda d, b: leaks.leaked_items(d, b, edits=1, places=4, repeats=10)),
+        "p8_near": _on("documents", "benchmark")(lambda d, b: leaks.leaked_items(d, b, edits=1, exhaustive=True)),
         "p8_report": _on("documents", "benchmark")(lambda d, b: leaks.leak_report(leaks.leaked_items(d, b))),
         "p9_found": _on("documents")(repetition.repetitive),
         "p9_share": _on("documents")(repetition.repetition),
