@@ -98,7 +98,8 @@ def minhash(shingles: DataFrame, ident: str, count: int = 128) -> DataFrame:
     shingles: (ident, shingles: array<string>). A shingle's hash is the first 31 bits of its MD5.
     """
     hashes = F.transform("shingles", lambda s: F.shiftright(F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint"), 1))
-    hashed = shingles.where(F.size("shingles") > 0).select(ident, hashes.alias("_h"))
+    # written once, or each permutation would hash all shingles again
+    hashed = stage(shingles.where(F.size("shingles") > 0).select(ident, hashes.alias("_h")), "hashes")
     least = lambda k: F.array_min(F.transform("_h", lambda x: (x * F.lit(permutation(k)[0]) + F.lit(permutation(k)[1])) % F.lit(PRIME)))
     return hashed.select(ident, F.array(*(least(k) for k in range(count))).alias("signature"))
 
@@ -108,6 +109,7 @@ def lsh_pairs(signatures: DataFrame, ident: str, bands: int) -> DataFrame:
 
     Equal signatures are one until the end, so that copies meet once and not in every band.
     """
+    signatures = stage(signatures, "signed")
     classes = stage(signatures.groupBy("signature").agg(F.min(ident).alias("rep")), "signatures")
     size = F.expr(f"int(size(signature) div {bands})")
     banded = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.slice("signature", k * size + 1, size)))).alias("band", "key"))
