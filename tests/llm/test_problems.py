@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import heldout
-from karst.llm import leaks, multiselect, neardup, overlap, packing, pii, pii_train, repetition, simjoin, splits, tokens, trie
+from karst.llm import charcrf, leaks, multiselect, neardup, overlap, packing, pii, pii_train, repetition, simjoin, splits, tokens, trie
 from karst.llm.charcrf import TAGS, Tagger, encode
 from karst.llm.textwords import words
 
@@ -321,6 +321,22 @@ def test_passes_without_gradients_equal_those_with():
         assert abs(score - path.max()) < 1e-3 and not best[n:, b].any()
 
 
+def test_steps_of_the_runtime_equal_those_of_numpy(monkeypatch):
+    pytest.importorskip("onnxruntime")
+    r = np.random.default_rng(6)
+    lengths = r.integers(1, 60, 40)
+    codes, mask = r.integers(3, 190, (59, 40)), np.arange(59)[:, None] < lengths
+    texts = [t for t, _, _ in heldout.texts(73, 300)]
+    with monkeypatch.context() as only:  # numpy's takes eight times as long
+        only.setattr(charcrf.np, "tanh", lambda *_, **__: pytest.fail("tanh of numpy"))
+        with_it, spans = pii.tagger().emissions(codes, mask), pii.find(texts)
+    for b, n in enumerate(lengths):
+        alone = pii.tagger().emissions(codes[:n, b : b + 1], mask[:n, b : b + 1])
+        assert np.abs(with_it[:n, b] - alone[:, 0]).max() < 1e-3
+    monkeypatch.setattr(charcrf, "_runtime", lambda: None)
+    assert np.abs(with_it - pii.tagger().emissions(codes, mask))[mask].max() < 1e-3 and spans == pii.find(texts)
+
+
 def test_codes_keep_their_places():
     text = "Аб😀ﬁ 1-‑\U00010437é\n"
     assert len(encode(text)) == len(text) and encode("") .size == 0
